@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wirelake.llm import frequent, radix, setsketch
+from wirelake.llm import frequent, leakage, packing, radix, setsketch, subjects
 from wirelake.session import table
 
 
@@ -44,7 +44,23 @@ def p5_top(spark: SparkSession, d: str) -> DataFrame:
     return frequent.top_items(*_identifiers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p3_overlaps, p4_found, p4_quantiles, p5_found, p5_top)}
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(table(spark, d, "documents"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.contaminated(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_places(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subject_areas(*(table(spark, d, t) for t in ("documents", "doc_labels", "subjects"))).select("doc_id", "subject")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p3_overlaps, p4_found, p4_quantiles, p5_found, p5_top, p6_containers, p7_found, p7_places, p8_found)}
 
 _DAYS = "days AS (SELECT DISTINCT frame_number, CAST(ts AS DATE) AS day FROM frames WHERE ts >= TIMESTAMP '1971-01-01')"
 _ITEMS = f"""{_DAYS},

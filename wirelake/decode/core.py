@@ -8,6 +8,7 @@ fields. Tunnel headers are at their own depth, what they carry is one deeper.
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
@@ -68,6 +69,10 @@ def decoder(name: str, wants: Callable[[Hints], bool], priority: int = 0, about:
 
 
 def chosen(hints: Hints) -> Decoder | None:
+    if not REGISTRY:
+        # a worker that unpickled a task has this module only
+        for name in ("link", "network", "application", "tls"):
+            importlib.import_module(f"wirelake.decode.{name}")
     best = None
     for d in REGISTRY:
         if (best is None or d.priority >= best.priority) and d.wants(hints):

@@ -61,10 +61,11 @@ def _unknown(n: str) -> str:
     return f"concat('Unknown (', {n}, ')')"
 
 
+# hex and unhex may be shadowed in a session, to_char and to_binary are not
 _NET = "split_part(cidr, '/', 1)"
 _PREFIX = "try_cast(split_part(cidr, '/', 2) AS INT)"
 _MAC_BARE = "lower(regexp_replace(m, '[:-]', ''))"
-_FIRST = "cast(conv(hex(substring(m, 1, 1)), 16, 10) AS INT)"
+_FIRST = "cast(conv(to_char(substring(m, 1, 1), 'hex'), 16, 10) AS INT)"
 _ENTRIES = "array_sort(map_entries(h))"
 _TOTAL = "aggregate(map_values(h), 0L, (a, x) -> a + x)"
 # a bucket is named by its low edge; its width follows from it
@@ -79,14 +80,14 @@ SQL_FUNCTIONS = (
     Function("is_private_ip", "x BIGINT", "BOOLEAN", "x BETWEEN 167772160 AND 184549375 OR x BETWEEN 2886729728 AND 2887778303 OR x BETWEEN 3232235520 AND 3232301055", "10/8, 172.16/12 and 192.168/16"),
     Function("is_multicast_ip", "x BIGINT", "BOOLEAN", "shiftright(x, 28) = 14", "224/4"),
     Function("is_loopback_ip", "x BIGINT", "BOOLEAN", "shiftright(x, 24) = 127", "127/8"),
-    Function("is_link_local_ip6", "b BINARY", "BOOLEAN", "CASE WHEN length(b) = 16 THEN hex(substring(b, 1, 1)) = 'FE' AND (cast(conv(hex(substring(b, 2, 1)), 16, 10) AS INT) & 192) = 128 END", "fe80::/10"),
-    Function("is_multicast_ip6", "b BINARY", "BOOLEAN", "CASE WHEN length(b) = 16 THEN hex(substring(b, 1, 1)) = 'FF' END", "ff00::/8"),
+    Function("is_link_local_ip6", "b BINARY", "BOOLEAN", "CASE WHEN length(b) = 16 THEN to_char(substring(b, 1, 1), 'hex') = 'FE' AND (cast(conv(to_char(substring(b, 2, 1), 'hex'), 16, 10) AS INT) & 192) = 128 END", "fe80::/10"),
+    Function("is_multicast_ip6", "b BINARY", "BOOLEAN", "CASE WHEN length(b) = 16 THEN to_char(substring(b, 1, 1), 'hex') = 'FF' END", "ff00::/8"),
     Function("mac", "m STRING", "BINARY", (
-        f"CASE WHEN m RLIKE '^[0-9A-Fa-f]{{12}}$' THEN unhex(m) WHEN m RLIKE '^[0-9A-Fa-f]{{1,2}}(:[0-9A-Fa-f]{{1,2}}){{5}}$' OR m RLIKE '^[0-9A-Fa-f]{{1,2}}(-[0-9A-Fa-f]{{1,2}}){{5}}$' "
-        "THEN unhex(array_join(transform(split(m, '[:-]'), p -> lpad(p, 2, '0')), '')) END"
+        f"CASE WHEN m RLIKE '^[0-9A-Fa-f]{{12}}$' THEN to_binary(m, 'hex') WHEN m RLIKE '^[0-9A-Fa-f]{{1,2}}(:[0-9A-Fa-f]{{1,2}}){{5}}$' OR m RLIKE '^[0-9A-Fa-f]{{1,2}}(-[0-9A-Fa-f]{{1,2}}){{5}}$' "
+        "THEN to_binary(array_join(transform(split(m, '[:-]'), p -> lpad(p, 2, '0')), ''), 'hex') END"
     ), "Bytes of a hardware address with colons, dashes or neither"),
-    Function("mac_to_string", "m BINARY", "STRING", "CASE WHEN length(m) = 6 THEN lower(regexp_replace(hex(m), '(..)(?!$)', '$1:')) END", "Hardware address with colons"),
-    Function("mac_is_broadcast", "m BINARY", "BOOLEAN", "CASE WHEN length(m) = 6 THEN hex(m) = 'FFFFFFFFFFFF' END", "All bits set"),
+    Function("mac_to_string", "m BINARY", "STRING", "CASE WHEN length(m) = 6 THEN lower(regexp_replace(to_char(m, 'hex'), '(..)(?!$)', '$1:')) END", "Hardware address with colons"),
+    Function("mac_is_broadcast", "m BINARY", "BOOLEAN", "CASE WHEN length(m) = 6 THEN to_char(m, 'hex') = 'FFFFFFFFFFFF' END", "All bits set"),
     Function("mac_is_multicast", "m BINARY", "BOOLEAN", f"CASE WHEN length(m) = 6 THEN ({_FIRST} & 1) = 1 END", "Group bit"),
     Function("mac_is_local", "m BINARY", "BOOLEAN", f"CASE WHEN length(m) = 6 THEN ({_FIRST} & 2) = 2 END", "Locally administered bit"),
     Function("tcp_flags_str", "f INT", "STRING", "CASE WHEN f IS NOT NULL THEN concat_ws(',', " + ", ".join(f"CASE WHEN (f & {1 << i}) <> 0 THEN '{n}' END" for i, n in enumerate(names.TCP_FLAGS)) + ") END", "Names of the set flags"),
@@ -99,7 +100,7 @@ SQL_FUNCTIONS = (
     Function("icmp_code_name", "t INT, c INT", "STRING", _nested(names.ICMP_CODE, {}), "ICMP code of a type"),
     Function("icmpv6_code_name", "t INT, c INT", "STRING", _nested(names.ICMPV6_CODE, {2: "Packet Too Big"}), "ICMPv6 code of a type"),
     Function("ip_proto_name", "n INT", "STRING", _lookup("n", names.IP_PROTO, "concat('Proto ', n)"), "IP protocol"),
-    Function("ethertype_name", "n INT", "STRING", _lookup("n", names.ETHERTYPE, "concat('0x', lpad(hex(n), greatest(4, length(hex(n))), '0'))"), "EtherType"),
+    Function("ethertype_name", "n INT", "STRING", _lookup("n", names.ETHERTYPE, "concat('0x', lpad(conv(cast(n AS STRING), 10, 16), greatest(4, length(conv(cast(n AS STRING), 10, 16))), '0'))"), "EtherType"),
     Function("bgp_message_type_name", "n INT", "STRING", _lookup("n", names.BGP_MESSAGE, _unknown("n")), "BGP message type"),
     Function("bgp_origin_name", "n INT", "STRING", _lookup("n", names.BGP_ORIGIN, _unknown("n")), "BGP origin"),
     Function("ospf_packet_type_name", "n INT", "STRING", _lookup("n", names.OSPF_PACKET, _unknown("n")), "OSPF packet type"),
@@ -107,10 +108,10 @@ SQL_FUNCTIONS = (
     Function("gtp_message_type_name", "n INT", "STRING", _lookup("n", names.GTP_MESSAGE, _unknown("n")), "GTP message type of versions 1 and 2"),
     Function("ntp_mode_name", "n INT", "STRING", _lookup("n", names.NTP_MODE, _unknown("n")), "NTP mode"),
     Function("ntp_stratum_name", "n INT", "STRING", _lookup("n", names.NTP_STRATUM, "CASE WHEN n BETWEEN 2 AND 15 THEN concat('Secondary (stratum ', n, ')') ELSE concat('Reserved (', n, ')') END"), "NTP stratum"),
-    Function("tls_version_name", "n INT", "STRING", _lookup("n", names.TLS_VERSION, "CASE WHEN (n & 3855) = 2570 THEN 'GREASE' ELSE concat('Unknown (0x', lower(lpad(hex(n), greatest(4, length(hex(n))), '0')), ')') END"), "TLS version"),
+    Function("tls_version_name", "n INT", "STRING", _lookup("n", names.TLS_VERSION, "CASE WHEN (n & 3855) = 2570 THEN 'GREASE' ELSE concat('Unknown (0x', lower(lpad(conv(cast(n AS STRING), 10, 16), greatest(4, length(conv(cast(n AS STRING), 10, 16))), '0')), ')') END"), "TLS version"),
     Function("tls_record_type_name", "n INT", "STRING", _lookup("n", names.TLS_RECORD, _unknown("n")), "TLS record type"),
-    Function("pcap_hex", "b BINARY", "STRING", "lower(hex(b))", "Lower-case hexadecimal digits"),
-    Function("pcap_unhex", "s STRING", "BINARY", "CASE WHEN regexp_replace(trim(s), '^0[xX]', '') RLIKE '^([0-9A-Fa-f]{2})*$' THEN unhex(regexp_replace(trim(s), '^0[xX]', '')) END", "Bytes of hexadecimal digits with or without 0x"),
+    Function("pcap_hex", "b BINARY", "STRING", "lower(to_char(b, 'hex'))", "Lower-case hexadecimal digits"),
+    Function("pcap_unhex", "s STRING", "BINARY", "CASE WHEN regexp_replace(trim(s), '^0[xX]', '') RLIKE '^([0-9A-Fa-f]{2})*$' THEN to_binary(regexp_replace(trim(s), '^0[xX]', ''), 'hex') END", "Bytes of hexadecimal digits with or without 0x"),
     Function("datetime", "ts TIMESTAMP_NTZ", "STRING", "date_format(ts, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")", "ISO text with microseconds"),
     Function("fmt_date", "ts TIMESTAMP_NTZ", "STRING", "date_format(ts, 'yyyy-MM-dd')", "Date as text"),
     Function("fmt_time", "ts TIMESTAMP_NTZ", "STRING", "date_format(ts, 'HH:mm:ss.SSSSSS')", "Time of day as text"),
@@ -119,7 +120,7 @@ SQL_FUNCTIONS = (
     Function("format_ip4", "x BIGINT", "STRING", "ip4_to_string(x)", "Dotted quad of a number"),
     Function("format_mac", "m BINARY", "STRING", "mac_to_string(m)", "Hardware address with colons"),
     Function("format_ip4_list", "xs ARRAY<BIGINT>", "ARRAY<STRING>", "transform(xs, x -> concat(shiftright(x, 24) & 255, '.', shiftright(x, 16) & 255, '.', shiftright(x, 8) & 255, '.', x & 255))", "Dotted quads of numbers"),
-    Function("format_mac_list", "ms ARRAY<BINARY>", "ARRAY<STRING>", "transform(ms, m -> lower(regexp_replace(hex(m), '(..)(?!$)', '$1:')))", "Hardware addresses with colons"),
+    Function("format_mac_list", "ms ARRAY<BINARY>", "ARRAY<STRING>", "transform(ms, m -> lower(regexp_replace(to_char(m, 'hex'), '(..)(?!$)', '$1:')))", "Hardware addresses with colons"),
     Function("hdr_bucket", "v BIGINT", "BIGINT", f"CASE WHEN v >= 0 THEN shiftleft(shiftright(v, {_SHIFT.format('v')}), {_SHIFT.format('v')}) END", "Low edge of the histogram bucket of a value"),
     Function("hdr_bucket_high", "low BIGINT", "BIGINT", _HIGH.format("low"), "High edge of the bucket with that low edge"),
     Function("hdr_count", "h MAP<BIGINT, BIGINT>", "BIGINT", _TOTAL, "Values in a histogram"),

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 from typing import BinaryIO
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -124,5 +125,9 @@ class PcapSource(DataSource):
 
 def frames(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """The frames of captures at a path, by the data source."""
-    spark.dataSource.register(PcapSource)
+    try:
+        spark.dataSource.register(PcapSource)
+    except AnalysisException as e:  # by another session of the application
+        if "DATA_SOURCE_ALREADY_EXISTS" not in str(e):
+            raise
     return spark.read.format("pcap").options(**options).load(path)

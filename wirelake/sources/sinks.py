@@ -26,13 +26,13 @@ def readable(df: DataFrame, text_only: bool = False) -> DataFrame:
     for f in df.schema.fields:
         c, low = F.col(f"`{f.name}`"), f.name.lower()
         if isinstance(f.dataType, T.BinaryType):
-            short = F.lower(F.regexp_replace(F.hex(c), "(..)(?!$)", "$1:"))
+            short = F.lower(F.regexp_replace(F.to_char(c, F.lit("hex")), "(..)(?!$)", "$1:"))
             if "mac" in low or low in ("eth_src", "eth_dst", "chaddr", "hw_addr"):
                 out[f.name] = short
             elif "ip" in low or low.startswith(("tunnel_src", "tunnel_dst", "outer_", "inner_")):
                 out[f.name] = F.call_function("ip6_to_string", c)
             elif text_only:
-                out[f.name] = F.lower(F.hex(c))
+                out[f.name] = F.lower(F.to_char(c, F.lit("hex")))
         elif isinstance(f.dataType, T.LongType) and (low in ("sender_ip", "target_ip", "ciaddr", "yiaddr", "siaddr", "giaddr", "gateway", "subnet_mask", "router", "server_id") or low.endswith(("_ip", "_ip_v4", "_ipv4")) or low.startswith(("src_ip", "dst_ip"))):
             out[f.name] = F.call_function("ip4_to_string", c)
         elif text_only and isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):

@@ -61,17 +61,14 @@ def pair_sessions(events: DataFrame, keys: list[str], ts_us: str, gap_us: int =
         (F.count("*").over(by.rangeBetween(-gap_us, -1)) == 0).alias("__starts"),
         (F.count("*").over(by.rangeBetween(1, gap_us)) == 0).alias("__ends"),
         F.sum(own_n).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("__seen"),
-    ).where("__own AND (__starts OR __ends)")
+        (F.max(F.when(F.col("__own"), F.col("__t"))).over(Window.partitionBy(*names, "__c")) == F.col("__t")).alias("__last"),
+    ).where("__own AND (__starts OR __ends OR __last)")
     ranks = [F.sum(F.col(c).cast("long")).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias(a) for c, a in (("__starts", "__sr"), ("__ends", "__er"))]
-    marks = cut(marked.select(*names, "__c", "__t", "__n", "__starts", "__ends", "__seen", *ranks))
-    # a chunk without any start or end still holds events, so its count comes from the points
-    sizes = points.groupBy(*names, chunk.alias("__c")).agg(F.sum("__n").alias("__sn"))
-    sums = marks.groupBy(*names, "__c").agg(F.sum(F.col("__starts").cast("long")).alias("__ss"), F.sum(F.col("__ends").cast("long")).alias("__es"))
+    marks = cut(marked.select(*names, "__c", "__t", "__n", "__starts", "__ends", "__last", "__seen", *ranks))
+    # the last event of a chunk, start or end or neither, has the counts of the whole chunk
+    sums = marks.where("__last").select(*names, "__c", F.col("__sr").alias("__ss"), F.col("__er").alias("__es"), F.col("__seen").alias("__sn"))
     over = Window.partitionBy(*names).orderBy("__c").rowsBetween(Window.unboundedPreceding, -1)
-    base = (
-        sizes.join(sums, [*names, "__c"], "left")
-        .select(*names, "__c", *[F.coalesce(F.sum(F.coalesce(c, F.lit(0))).over(over), F.lit(0)).alias(f"{c}0") for c in ("__ss", "__es", "__sn")])
-    )
+    base = sums.select(*names, "__c", *[F.coalesce(F.sum(c).over(over), F.lit(0)).alias(f"{c}0") for c in ("__ss", "__es", "__sn")])
     lifted = marks.join(base, [*names, "__c"])
     starts = lifted.where("__starts").select(*names, (F.col("__sr") + F.col("__ss0")).alias("__rank"), F.col("__t").alias("start_us"), (F.col("__seen") + F.col("__sn0") - F.col("__n")).alias("__before"))
     ends = lifted.where("__ends").select(*names, (F.col("__er") + F.col("__es0")).alias("__rank"), F.col("__t").alias("end_us"), (F.col("__seen") + F.col("__sn0")).alias("__through"))
@@ -86,11 +83,10 @@ def segment_entities(segments: DataFrame, ipv4: DataFrame) -> DataFrame:
     """
     seg = once(segments, "frame_number", frame=F.col("frame_number"), conn=F.col("connection_id"), ts=F.col("ts"))
     seg = seg.where(F.col("ts") >= F.lit(FIRST_REAL).cast("timestamp_ntz")).select("__key", "conn", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
-    deepest = (
-        ipv4.where(F.col("frame_number").isNotNull())
-        .groupBy(F.col("frame_number").alias("__frame"))
-        .agg(F.max(F.struct("encap_depth", "src_ip")).getField("src_ip").alias("src"))
-    )
+    # depth and address packed into one number, whose greatest needs no sorting; 0 stands for NULL
+    packed = F.shiftleft(F.coalesce(F.col("encap_depth").cast("long") + 1, F.lit(0)), 34).bitwiseOR(F.coalesce(F.col("src_ip") + 1, F.lit(0)))
+    deepest = ipv4.where(F.col("frame_number").isNotNull()).groupBy(F.col("frame_number").alias("__frame")).agg(F.max(packed).alias("packed"))
+    deepest = deepest.select("__frame", (F.nullif(F.col("packed").bitwiseAND(F.lit((1 << 34) - 1)), F.lit(0)) - 1).alias("src"))
     both = seg.join(deepest, seg["__key"] == deepest["__frame"], "left")
     pair = F.array(F.struct(F.lit("connection").alias("entity"), F.col("conn").alias("id")), F.struct(F.lit("src_ip").alias("entity"), F.col("src").alias("id")))
     return both.select("ts_us", F.inline(pair).alias("entity", "entity_id")).where(F.col("entity_id").isNotNull())

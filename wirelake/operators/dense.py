@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirelake.operators.capture import day_text, once, with_day
-from wirelake.session import cut, shuffle_width
+from wirelake.session import cut, shuffle_width, small_side
 
 LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: Distinct keys a split holds before it emits its blocks and starts anew.
@@ -151,7 +151,7 @@ def heavy_sources(ipv4: DataFrame, frames: DataFrame, least_rows: int = 20, shar
     per = dense_extremes(with_day(rows, frames), "day", "src", "size", "frame")
     # read twice: for the totals, as a window would gather all addresses of a day in one task
     per = cut(per)
-    totals = per.groupBy(F.col("group").alias("__day")).agg(F.sum("n").alias("__all"))
+    totals = small_side(cut(per.groupBy(F.col("group").alias("__day")).agg(F.sum("n").alias("__all"))))
     return (
         per.where(F.col("key").isNotNull() & (F.col("n") >= least_rows))
         .join(totals, F.col("group") == F.col("__day"))

@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def get_spark(master: str = "local[8]", name: str = "wirelake", **conf: str) -> SparkSession:
@@ -45,3 +46,10 @@ def cut(df: DataFrame) -> DataFrame:
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions that a shuffle of the session makes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``df`` with a broadcast hint if it is small, which is found out by counting its rows; as it is
+    otherwise, so that Spark chooses a join that shuffles. ``df`` should be cheap to count, such as
+    one read back from a checkpoint."""
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from wirelake.llm.setsketch import identifier_rows
 from wirelake.operators.capture import day_text, week_of
-from wirelake.session import cut
+from wirelake.session import cut, small_side
 
 WIDTH, DEPTH, HEAP = 1 << 16, 4, 1024
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -125,10 +125,15 @@ def weekly_heavy_hitters(ipv4: DataFrame, dns: DataFrame, tls: DataFrame, frames
     """
     rows = cut(identifier_rows(ipv4, dns, tls, frames).select("ident", week_of(F.col("day")).alias("week"), "item"))
     totals = rows.groupBy("ident", "week").agg(F.count("*").alias("all"))
-    proposed = frequent_items(rows, ["ident", "week"], "item").join(totals, ["ident", "week"])
+    proposed = frequent_items(rows, ["ident", "week"], "item").join(small_side(cut(totals)), ["ident", "week"])
     proposed = cut(proposed.where((F.col("estimate") >= least) & (F.col("estimate") * share >= F.col("all"))).select("ident", "week", "item", "all"))
-    counts = rows.join(proposed.drop("all"), ["ident", "week", "item"], "left_semi").groupBy("ident", "week", "item").agg(F.count("*").alias("n"))
-    sure = counts.join(proposed, ["ident", "week", "item"]).where((F.col("n") >= least) & (F.col("n") * share >= F.col("all")))
+    # counted before they are joined where the proposals are too many to broadcast: the hottest items
+    # are among them and must not meet in one task
+    keys = ["ident", "week", "item"]
+    wanted = small_side(proposed)
+    few = wanted is not proposed
+    counts = (rows.join(wanted.drop("all"), keys, "left_semi") if few else rows).groupBy(*keys).agg(F.count("*").alias("n"))
+    sure = counts.join(wanted, keys).where((F.col("n") >= least) & (F.col("n") * share >= F.col("all")))
     return sure.select("ident", day_text(F.col("week")).alias("week"), "item")
 
 

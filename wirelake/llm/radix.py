@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirelake.operators.capture import day_text, once, week_of, with_day
-from wirelake.session import cut
+from wirelake.session import cut, small_side
 
 _SIGN = -(2**63)
 _REST = 2**63 - 1
+_NAN = int(np.array([np.nan]).view(np.int64)[0])
 
 
 @F.pandas_udf(T.LongType())
@@ -57,7 +58,7 @@ def radix_quantiles(df: DataFrame, group: list[str], part: str, rollups: dict[st
     """
     floating = isinstance(df.schema[value].dataType, (T.DoubleType, T.FloatType))
     names = [f"__g{i}" for i in range(len(group))]
-    rows = df.select(*[F.col(f"`{g}`").alias(a) for g, a in zip(group, names, strict=True)], F.col(f"`{part}`").alias("__p"), F.col(f"`{value}`").alias("__v")).dropna(subset=["__p", "__v"])
+    rows = df.select(*[F.col(f"`{g}`").alias(a) for g, a in zip(group, names, strict=True)], F.col(f"`{part}`").alias("__p"), F.col(f"`{value}`").alias("__v")).where("__p IS NOT NULL AND __v IS NOT NULL")
     # equal values shrink to one weighted row before the shuffle, which also takes the hot groups apart
     counted = rows.groupBy(*names, "__p", "__v").agg(F.count("*").alias("__c"))
     keyed = counted.select(*names, "__p", "__c", ordered_key(F.col("__v"), rows.schema["__v"].dataType).bitwiseXOR(F.lit(_SIGN)).alias("__u"))
@@ -80,11 +81,13 @@ def radix_quantiles(df: DataFrame, group: list[str], part: str, rollups: dict[st
         shift -= bits
         digit = F.shiftrightunsigned("__u", shift).bitwiseAND(F.lit(2**bits - 1))
         prefix = F.shiftrightunsigned("__u", shift + bits) if shift + bits < 64 else F.lit(0).cast("long")
-        wanted = targets.join(parts, ["__id", "kind", "win"]).select("__id", "__p", F.col("prefix").alias("__prefix")).distinct()
+        rows = keyed.select("__id", "__p", "__c", prefix.alias("__prefix"), digit.alias("__digit"))
+        if shift + bits < 64:
+            # a few prefixes a group are left; broadcast, so that a hot group stays where it is
+            wanted = targets.join(parts, ["__id", "kind", "win"]).select("__id", "__p", F.col("prefix").alias("__prefix")).distinct()
+            rows = rows.join(small_side(cut(wanted)), ["__id", "__p", "__prefix"], "left_semi")
         hist = (
-            keyed.select("__id", "__p", "__c", prefix.alias("__prefix"), digit.alias("__digit"))
-            .join(wanted, ["__id", "__p", "__prefix"], "left_semi")
-            .groupBy("__id", "__p", "__prefix", "__digit")
+            rows.groupBy("__id", "__p", "__prefix", "__digit")
             .agg(F.sum("__c").alias("__c"))
             .select("__id", "__prefix", "__digit", "__c", F.inline(windows))
             .groupBy("__id", "kind", "win", F.col("__prefix").alias("prefix"), "__digit")
@@ -103,7 +106,9 @@ def radix_quantiles(df: DataFrame, group: list[str], part: str, rollups: dict[st
             )
         )
     key = F.col("prefix").bitwiseXOR(F.lit(_SIGN))
-    found = targets.withColumn("__q", _double_back(key) if floating else key)
+    # pandas would turn NaN into NULL on the way back
+    back = F.when(key == _NAN, F.lit(float("nan"))).otherwise(_double_back(key)) if floating else key
+    found = targets.withColumn("__q", back)
     wide = found.groupBy("__id", "kind", "win").agg(F.max("n").alias("n"), *[F.first(a).alias(a) for a in names], *[F.max(F.when(F.col("i") == i, F.col("__q"))).alias(f"q{i}") for i in range(len(quantiles))])
     return wide.select(*[F.col(a).alias(g) for a, g in zip(names, group, strict=True)], "kind", "win", "n", *[f"q{i}" for i in range(len(quantiles))])
 

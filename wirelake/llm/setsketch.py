@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from wirelake.operators.capture import day_text, once, plain_name, week_of, with_day
-from wirelake.session import cut
+from wirelake.session import cut, small_side
 
 
 @dataclass(frozen=True)
@@ -236,9 +236,10 @@ def identifier_rows(ipv4: DataFrame, dns: DataFrame, tls: DataFrame, frames: Dat
     )
     out = None
     for ident, df, grp, item in parts:
-        rows = once(df, "frame_number", ident=F.lit(ident), grp=grp, item=item).where(F.col("item").isNotNull())
+        # joined one by one, each is already partitioned by frame
+        rows = with_day(once(df, "frame_number", ident=F.lit(ident), grp=grp, item=item).where(F.col("item").isNotNull()), frames)
         out = rows if out is None else out.unionByName(rows)
-    return with_day(out, frames)
+    return out
 
 
 def in_groups(rows: DataFrame) -> DataFrame:
@@ -258,7 +259,8 @@ def standout_days(ipv4: DataFrame, dns: DataFrame, tls: DataFrame, frames: DataF
     grouped = in_groups(rows).select("ident", "grp", "day", "item", week_of(F.col("day")).alias("week"))
     counts = with_estimate(sketches(grouped, ["ident", "grp", "week", "day"], F.col("item"), s), s).drop("sketch")
     slack = sigmas * count_error(s)
-    likely = _standing_out(counts, "estimate", least * (1 - slack), factor * (1 - slack) / (1 + slack)).select("ident", "grp", "week").distinct()
+    likely = small_side(cut(_standing_out(counts, "estimate", least * (1 - slack), factor * (1 - slack) / (1 + slack)).select("ident", "grp", "week").distinct()))
+    # distinct before counting: both aggregate on the map side, so a hot group is spread over its items
     exact = grouped.join(likely, ["ident", "grp", "week"], "left_semi").dropDuplicates()
     exact = exact.groupBy("ident", "grp", "week", "day").agg(F.count("*").alias("n"))
     return _standing_out(exact, "n", least, factor).select("ident", "grp", day_text(F.col("day")).alias("day"))

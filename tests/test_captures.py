@@ -14,6 +14,7 @@ import pytest
 import zstandard
 
 from wirelake import cli, engine, schema
+from wirelake.decode.outer import outer_headers
 from wirelake.engine import Engine
 from wirelake.plans.views import VIEWS
 from wirelake.sources import container, datasource, sinks
@@ -126,3 +127,31 @@ def test_command_line(spark, tmp_path):
         assert cli.command(spark, line, e)
     assert cli.command(spark, ".quit", e) is None
     assert cli.key_log_text(str(tmp_path / "none")) == ""
+
+
+def test_table_functions(spark, tmp_path):
+    (tmp_path / "c.pcap.gz").write_bytes(gzip.compress(P.pcap(FRAMES)))
+    Engine.open(spark, str(tmp_path / "c.pcap.gz"), streams=False)
+    path = str(tmp_path / "c.pcap.gz")
+    assert spark.sql(f"SELECT frame_number, length, link_type FROM read_pcap('{path}')").collect()[0] == (1, 54, 1)
+    assert [r[0] for r in spark.sql(f"SELECT query_name FROM read_dns('{path}')").collect()] == ["a.test"] * 2
+    assert spark.sql(f"SELECT * FROM read_tcp('{path}')").schema.simpleString() == schema.spark_schema("tcp").simpleString() and spark.sql(f"SELECT * FROM read_bgp('{path}')").count() == 0
+    assert spark.sql("SELECT * FROM pcap_protocols()").count() == 27 and spark.sql("SELECT * FROM pcap_schema('udp')").count() == 8
+
+
+def test_outer_headers_agree_with_the_decoders(spark, tmp_path):
+    tagged = P.eth(struct.pack(">HH", 5, 0x8100) + struct.pack(">HH", 6, 0x0800) + P.ip(P.tcp(7, 8, flags=18), 6), 0x88A8)
+    whole = [*FRAMES, tagged, P.eth(P.ip(P.udp(1, 2, b"x"), 17, frag=5)), P.eth(P.ip6(P.udp(1, 2, b""), 17), 0x86DD)]
+    frames = whole + [f[:n] for f in whole for n in (5, 14, 20, 35, 41, 50)]
+    (tmp_path / "o.pcap").write_bytes(P.pcap(frames))
+    df = engine.read_pcap(spark, str(tmp_path / "o.pcap"), "ethernet")
+    got = {r.frame_number: r for r in outer_headers(datasource.frames(spark, str(tmp_path / "o.pcap"))).collect()}
+    assert set(got) == {r.frame_number for r in df.where("ethertype IS NOT NULL").collect()}
+    net = {r.frame_number: r for r in engine.read_pcap(spark, str(tmp_path / "o.pcap"), "ipv4").collect()}
+    ports = {r.frame_number: r for t in ("tcp", "udp") for r in engine.read_pcap(spark, str(tmp_path / "o.pcap"), t).collect()}
+    for n, r in got.items():
+        i, t = net.get(n), ports.get(n)
+        assert (r.src_ip, r.ttl, r.protocol, r.total_length) == ((i.src_ip, i.ttl, i.protocol, i.total_length) if i else (None,) * 4), n
+        if r.ethertype == 0x0800:
+            assert (r.src_port, r.dst_port) == ((t.src_port, t.dst_port) if t else (None, None)), n
+    assert got[5].vlan_id == 5 and got[5].tcp_flags == 18

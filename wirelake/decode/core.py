@@ -68,13 +68,17 @@ def decoder(name: str, wants: Callable[[Hints], bool], priority: int = 0, about:
     return add
 
 
-def chosen(hints: Hints) -> Decoder | None:
+def loaded() -> list[Decoder]:
+    """The registry with all decoders; a worker that unpickled a task has only this module at first."""
     if not REGISTRY:
-        # a worker that unpickled a task has this module only
         for name in ("link", "network", "application", "tls"):
             importlib.import_module(f"wirelake.decode.{name}")
+    return REGISTRY
+
+
+def chosen(hints: Hints) -> Decoder | None:
     best = None
-    for d in REGISTRY:
+    for d in REGISTRY or loaded():
         if (best is None or d.priority >= best.priority) and d.wants(hints):
             best = d
     return best

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wirelake import schema
 from wirelake.decode import core, tables
-from wirelake.functions import catalogue
+from wirelake.functions import catalogue, table_functions
 from wirelake.plans import filters, views
 from wirelake.sources.datasource import frames as read_frames
 from wirelake.streaming import analysis
@@ -58,6 +58,7 @@ class Engine:
             us = F.unix_micros(F.col("timestamp").cast("timestamp"))
             catalogue.register_capture_time(spark, *frames.agg(F.min(us), F.max(us)).first())
         views.register(spark)
+        table_functions.register(spark)
         return engine
 
     def sql(self, text: str, filter: str | None = None) -> DataFrame:
@@ -89,7 +90,7 @@ def _one_numbering(frames: DataFrame) -> DataFrame:
 
 def protocols(spark: SparkSession) -> DataFrame:
     """``name, description, field_count`` of every protocol."""
-    about = {d.name: d.about for d in core.REGISTRY} | {"http": "HTTP messages", "http2": "HTTP/2 frames"}
+    about = {d.name: d.about for d in core.loaded()} | {"http": "HTTP messages", "http2": "HTTP/2 frames"}
     return spark.createDataFrame([(n, about[n], len(schema.own_fields(n))) for n in schema.PROTOCOLS], "name string, description string, field_count int")
 
 

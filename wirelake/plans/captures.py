@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from wirelake import schema
 from wirelake.decode import tables
+from wirelake.decode.outer import outer_headers
 from wirelake.functions.catalogue import register
 from wirelake.plans import filters
 from wirelake.plans.lens import DERIVED, with_derived
@@ -80,14 +81,23 @@ def cap_headers(spark: SparkSession, d: str) -> DataFrame:
     return link.join(net, F.col("n") == F.col("frame_number")).drop("n").distinct()
 
 
+def cap_outer(spark: SparkSession, d: str) -> DataFrame:
+    """Outer headers of every frame by expressions alone."""
+    return outer_headers(_frames(spark, d)).where("src_ip IS NOT NULL").select("frame_number", "ethertype", "src_ip", "dst_ip", "ttl", "protocol", "total_length", "src_port", "dst_port").distinct()
+
+
 def _at(i: int, n: int, kind: str = "INT") -> str:
     return f"CAST('0x' || substr(hex(raw_data), {2 * i + 1}, {2 * n}) AS {kind})"
 
 
-QUERIES = {n: _filter(text) for n, (text, _) in FILTERS.items()} | {"cap_ethernet": _decoded("ethernet"), "cap_ipv4": _decoded("ipv4"), "cap_arp": _decoded("arp"), "cap_udp": _decoded("udp"), "cap_icmp": _decoded("icmp"), "cap_decode": cap_decode, "cap_headers": cap_headers, "cap_ipv4_agrees": cap_ipv4_agrees}
+QUERIES = {n: _filter(text) for n, (text, _) in FILTERS.items()} | {"cap_ethernet": _decoded("ethernet"), "cap_ipv4": _decoded("ipv4"), "cap_arp": _decoded("arp"), "cap_udp": _decoded("udp"), "cap_icmp": _decoded("icmp"), "cap_decode": cap_decode, "cap_headers": cap_headers, "cap_outer": cap_outer, "cap_ipv4_agrees": cap_ipv4_agrees}
+_PORTS = f"({_at(20, 2)} & 8191) = 0 AND (({_at(23, 1)} = 17 AND octet_length(raw_data) >= 42) OR ({_at(23, 1)} = 6 AND octet_length(raw_data) >= 54))"
 ORACLES = {n: _filter_sql(sql) for n, (_, sql) in FILTERS.items()} | {
     "cap_headers": f"""SELECT DISTINCT frame_number, substr(hex(raw_data), 13, 12) AS src_mac, substr(hex(raw_data), 1, 12) AS dst_mac, {_at(12, 2)} AS ethertype, {_at(14, 1)} & 15 AS ihl, {_at(16, 2)} AS total_length,
         {_at(18, 2)} AS identification, ({_at(20, 2)} & 16384) <> 0 AS dont_fragment, {_at(20, 2)} & 8191 AS fragment_offset, {_at(22, 1)} AS ttl, {_at(23, 1)} AS protocol, {_at(24, 2)} AS checksum,
         {_at(26, 4, "BIGINT")} AS src_ip, {_at(30, 4, "BIGINT")} AS dst_ip
-        FROM frames WHERE octet_length(raw_data) >= 34 AND {_at(12, 2)} = 2048 AND {_at(14, 1)} >> 4 = 4 AND {_at(14, 1)} & 15 >= 5 AND octet_length(raw_data) >= 14 + 4 * ({_at(14, 1)} & 15)"""
+        FROM frames WHERE octet_length(raw_data) >= 34 AND {_at(12, 2)} = 2048 AND {_at(14, 1)} >> 4 = 4 AND {_at(14, 1)} & 15 >= 5 AND octet_length(raw_data) >= 14 + 4 * ({_at(14, 1)} & 15)""",
+    "cap_outer": f"""SELECT DISTINCT frame_number, {_at(12, 2)} AS ethertype, {_at(26, 4, "BIGINT")} AS src_ip, {_at(30, 4, "BIGINT")} AS dst_ip, CAST({_at(22, 1)} AS SMALLINT) AS ttl, CAST({_at(23, 1)} AS SMALLINT) AS protocol,
+        {_at(16, 2)} AS total_length, CASE WHEN {_PORTS} THEN {_at(34, 2)} END AS src_port, CASE WHEN {_PORTS} THEN {_at(36, 2)} END AS dst_port
+        FROM frames WHERE octet_length(raw_data) >= 34 AND {_at(12, 2)} = 2048 AND {_at(14, 1)} = 69""",
 }

@@ -75,6 +75,10 @@ PAIRS = {
         "SELECT DISTINCT t, c, icmpv6_code_name(t, c) AS name FROM (SELECT CASE WHEN t > 10 THEN t + 127 ELSE t END AS t, c FROM code) x",
         f"SELECT DISTINCT t, c, {_nested(names.ICMPV6_CODE, chr(10) + 'WHEN 2 THEN ' + chr(39) + 'Packet Too Big' + chr(39))} AS name FROM (SELECT CASE WHEN t > 10 THEN t + 127 ELSE t END AS t, c FROM code) x",
     ),
+    "format_lists": (
+        "SELECT frame_number, format_ip4_list(answer_ip4s) AS four, size(format_ip6_list(answer_ip6s)) AS six, element_at(format_mac_list(array(substring(cast(query_name AS BINARY), 1, 6))), 1) AS m FROM (SELECT DISTINCT * FROM dns) q WHERE length(query_name) >= 6",
+        f"SELECT frame_number, list_transform(answer_ip4s, lambda x: {_QUAD.format('x')}) AS four, CAST(len(answer_ip6s) AS INT) AS six, lower({_MAC.replace('h,', 'hex(encode(query_name)),')}) AS m FROM (SELECT DISTINCT * FROM dns) q WHERE length(query_name) >= 6",
+    ),
     "hex_unhex": (
         "SELECT frame_number, pcap_hex(raw_data) AS h, hex(pcap_unhex(concat(' 0x', hex(raw_data)))) AS back, pcap_unhex('abc') IS NULL AS odd, pcap_unhex('zz') IS NULL AS bad FROM frames",
         "SELECT frame_number, lower(hex(raw_data)) AS h, hex(raw_data) AS back, true AS odd, true AS bad FROM frames",
@@ -122,6 +126,15 @@ def hdr_stats(spark: SparkSession, d: str) -> DataFrame:
     return _squares(spark, d).selectExpr("protocol", "hdr_count(h) AS n", "hdr_min(h) AS low", "hdr_max(h) AS high", "round(hdr_mean(h), 4) AS mean", "round(hdr_stdev(h), 2) AS stdev")
 
 
+def fn_ip6_text(spark: SparkSession, d: str) -> DataFrame:
+    """IPv6 answers as text and back."""
+    from wirelake.functions.catalogue import register
+
+    register(spark)
+    rows = table(spark, d, "dns").select("frame_number", F.explode("answer_ip6s").alias("a")).selectExpr("frame_number", "a", "ip6_to_string(a) AS text")
+    return rows.selectExpr("frame_number", "text", "ip6(text) = a AS same")
+
+
 def capture_time(spark: SparkSession, d: str) -> DataFrame:
     """start_time, end_time and relative_time of the directory's capture."""
     from wirelake.functions.catalogue import register_capture_time
@@ -139,7 +152,7 @@ def _query(sql: str):
     return query
 
 
-QUERIES = {f"fn_{n}": _query(sql) for n, (sql, _) in PAIRS.items()} | {"hdr_percentiles": hdr_percentiles, "hdr_stats": hdr_stats, "fn_capture_time": capture_time}
+QUERIES = {f"fn_{n}": _query(sql) for n, (sql, _) in PAIRS.items()} | {"hdr_percentiles": hdr_percentiles, "hdr_stats": hdr_stats, "fn_ip6_text": fn_ip6_text, "fn_capture_time": capture_time}
 ORACLES = {f"fn_{n}": with_derived(sql) for n, (_, sql) in PAIRS.items()} | HDR_ORACLES | {
     "fn_capture_time": with_derived("SELECT frame_number, (epoch_us(ts) - epoch_us((SELECT min(ts) FROM pkt))) / 1e6 AS rel, ts = (SELECT min(ts) FROM pkt) AS is_first, ts = (SELECT max(ts) FROM pkt) AS is_last FROM pkt")
 }

@@ -21,6 +21,7 @@ import wirelake.decode.network
 import wirelake.decode.tls  # noqa: F401
 from wirelake import schema
 from wirelake.decode import core
+from wirelake.session import spread
 
 #: Protocols after which nothing else can follow in the same frame's loop, by family of their carrier.
 _LEAVES = {"arp", "icmp", "icmpv6", "bgp", "ospf", "dns", "dhcp", "ntp", "tls", "ssh", "quic", "rtnetlink"}
@@ -57,7 +58,7 @@ def table(frames: DataFrame, name: str) -> DataFrame:
         for rows in _rows(batches, frozenset((name,))):
             yield _batch(rows.get(name, []), cut)
 
-    return frames.select("frame_number", "link_type", "raw_data").mapInArrow(decode, schema.spark_schema(name))
+    return spread(frames.select("frame_number", "link_type", "raw_data")).mapInArrow(decode, schema.spark_schema(name))
 
 
 def layers(frames: DataFrame) -> DataFrame:
@@ -74,7 +75,7 @@ def layers(frames: DataFrame) -> DataFrame:
                 columns = [part.cast(types[n]) if n == name else pa.nulls(len(own), types[n]) for n in names]
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(own), pa.string()), *columns], ["proto", *names])
 
-    return frames.select("frame_number", "link_type", "raw_data").mapInArrow(decode, spark_type)
+    return spread(frames.select("frame_number", "link_type", "raw_data")).mapInArrow(decode, spark_type)
 
 
 def from_layers(decoded: DataFrame, name: str) -> DataFrame:

@@ -239,10 +239,12 @@ SHADOWED = {"hex": "pcap_hex", "unhex": "pcap_unhex", "date": "fmt_date", "time"
 def register(spark: SparkSession, shadow: bool = False) -> None:
     """Register every function in the session. With ``shadow`` the four names that Spark uses
     otherwise (``hex unhex date time``) get the portable meaning, for sessions of the command line."""
-    for f in SQL_FUNCTIONS:
-        spark.sql(f.ddl())
-    for name, f in PYTHON_FUNCTIONS.items():
-        spark.udf.register(name, f)
+    if not getattr(spark, "_wirelake_functions", False):
+        for f in SQL_FUNCTIONS:
+            spark.sql(f.ddl())
+        for name, f in PYTHON_FUNCTIONS.items():
+            spark.udf.register(name, f)
+        spark._wirelake_functions = True
     if shadow:
         spark.udf.register("hex", F.pandas_udf(lambda s: s.map(lambda b: None if b is None else bytes(b).hex()), T.StringType()))
         spark.udf.register("unhex", F.pandas_udf(lambda s: s.map(_unhex), T.BinaryType()))

@@ -7,6 +7,8 @@ arithmetic.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from wirelake.functions.catalogue import register
@@ -39,7 +41,8 @@ def with_derived(sql: str) -> str:
 def run(spark: SparkSession, d: str, sql: str) -> DataFrame:
     """A query over the directory's tables and the derived relations."""
     register(spark)
+    sql = with_derived(sql)
     for t in TABLES:
-        if t in sql or any(t in DERIVED[n] for n in DERIVED):
+        if re.search(rf"\b{t}\b", sql):
             spark.read.parquet(f"{d}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(with_derived(sql))
+    return spark.sql(sql)

@@ -53,3 +53,10 @@ def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
     otherwise, so that Spark chooses a join that shuffles. ``df`` should be cheap to count, such as
     one read back from a checkpoint."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work in Python that costs far
+    more than moving the rows. Inputs of that many splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelake import schema
 from wirelake.decode import tables
 from wirelake.decode.outer import outer_headers
 from wirelake.functions.catalogue import register
@@ -62,7 +61,7 @@ def _decoded(name: str):
 
 def cap_decode(spark: SparkSession, d: str) -> DataFrame:
     """Every layer of every frame: rows by protocol, depth and tunnel."""
-    return tables.layers(_frames(spark, d)).select("proto", F.coalesce(*[F.when(F.col("proto") == n, F.col(f"{n}.encap_depth")) for n in schema.PROTOCOLS if n not in ("http", "http2")]).alias("depth")).groupBy("proto", "depth").agg(F.count("*").alias("n"))
+    return tables.layers(_frames(spark, d)).groupBy("proto", F.col("encap_depth").alias("depth")).agg(F.count("*").alias("n"))
 
 
 def cap_ipv4_agrees(spark: SparkSession, d: str) -> DataFrame:

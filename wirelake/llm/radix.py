@@ -64,25 +64,30 @@ def radix_quantiles(df: DataFrame, group: list[str], part: str, rollups: dict[st
     keyed = counted.select(*names, "__p", "__c", ordered_key(F.col("__v"), rows.schema["__v"].dataType).bitwiseXOR(F.lit(_SIGN)).alias("__u"))
     # NULL groups must meet in joins, so every group gets a key that is never NULL
     keyed = cut(keyed.withColumn("__id", F.to_json(F.struct(*names), {"ignoreNullFields": "false"})))
+    # digits that all values share need no pass: begin at the first bit in which any two differ
+    low, high = keyed.agg(*[f(F.col("__u").bitwiseXOR(F.lit(_SIGN))) for f in (F.min, F.max)]).first()
+    shift = 0 if low is None else (low ^ high).bit_length() if (low < 0) == (high < 0) else 64
+    common = 0 if low is None else ((low ^ _SIGN) & (2**64 - 1)) >> shift
+    common -= 2**64 if common >= 2**63 else 0
     windows = F.array(*[F.struct(F.lit(k).alias("kind"), e.alias("win")) for k, e in rollups.items()])
     q = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for i, (a, b) in enumerate(quantiles)])
     per_part = keyed.groupBy("__id", *names, "__p").agg(F.sum("__c").alias("__c"))
     sizes = per_part.select("__id", *names, "__c", F.inline(windows)).groupBy("__id", "kind", "win").agg(F.sum("__c").alias("n"), *[F.first(a).alias(a) for a in names])
     targets = sizes.select("*", F.inline(q)).select(
-        "__id", *names, "kind", "win", "n", "i", F.lit(0).cast("long").alias("prefix"),
+        "__id", *names, "kind", "win", "n", "i", F.lit(common).cast("long").alias("prefix"),
         F.expr("(n * a + b - 1) div b").alias("rank"),
     )
     targets = cut(targets.withColumn("rank", F.greatest("rank", F.lit(1).cast("long"))))
     parts = keyed.select("__id", "__p").distinct().select("__id", "__p", F.inline(windows))
     parts = cut(parts)
-    shift = 64
+    first = True
     while shift > 0:
         bits = min(digit_bits, shift)
         shift -= bits
         digit = F.shiftrightunsigned("__u", shift).bitwiseAND(F.lit(2**bits - 1))
-        prefix = F.shiftrightunsigned("__u", shift + bits) if shift + bits < 64 else F.lit(0).cast("long")
+        prefix = F.lit(common).cast("long") if first else F.shiftrightunsigned("__u", shift + bits)
         rows = keyed.select("__id", "__p", "__c", prefix.alias("__prefix"), digit.alias("__digit"))
-        if shift + bits < 64:
+        if not first:
             # a few prefixes a group are left; broadcast, so that a hot group stays where it is
             wanted = targets.join(parts, ["__id", "kind", "win"]).select("__id", "__p", F.col("prefix").alias("__prefix")).distinct()
             rows = rows.join(small_side(cut(wanted)), ["__id", "__p", "__prefix"], "left_semi")
@@ -101,10 +106,11 @@ def radix_quantiles(df: DataFrame, group: list[str], part: str, rollups: dict[st
             .where((F.col("rank") > F.col("__upto") - F.col("__c")) & (F.col("rank") <= F.col("__upto")))
             .select(
                 "__id", *names, "kind", "win", "n", "i",
-                F.shiftleft("prefix", bits).bitwiseOR(F.col("__digit")).alias("prefix") if shift + bits < 64 else F.col("__digit").alias("prefix"),
+                F.shiftleft("prefix", bits).bitwiseOR(F.col("__digit")).alias("prefix"),
                 (F.col("rank") - F.col("__upto") + F.col("__c")).alias("rank"),
             )
         )
+        first = False
     key = F.col("prefix").bitwiseXOR(F.lit(_SIGN))
     # pandas would turn NaN into NULL on the way back
     back = F.when(key == _NAN, F.lit(float("nan"))).otherwise(_double_back(key)) if floating else key

@@ -130,3 +130,26 @@ def test_cut_off_headers_give_rows():
         for n in range(len(frame)):
             list(core.layers(frame[:n], 1))
     assert list(core.layers(b"", 1)) == [] and list(core.layers(whole, 999)) == []
+
+
+def test_extended_fields():
+    attrs = bytes([0x40, 1, 1, 0]) + bytes([0x40, 2, 10, 2, 2]) + struct.pack(">II", 65001, 70000) + bytes([0x40, 3, 4, 10, 0, 0, 1]) + bytes([0x80, 4, 4]) + struct.pack(">I", 50) + bytes([0x40, 6, 0]) + bytes([0xC0, 7, 8]) + struct.pack(">I", 65001) + bytes([9, 9, 9, 9])
+    update = struct.pack(">H", 3) + bytes([16, 172, 16]) + struct.pack(">H", len(attrs)) + attrs + bytes([24, 10, 1, 2, 8, 11])
+    message = b"\xff" * 16 + struct.pack(">HB", 19 + len(update), 2) + update
+    g = only(P.eth(P.ip(P.tcp(4000, 179, flags=24, payload=message), 6)), "bgp")
+    assert (g["origin_name"], g["as_path"], g["as_path_length"], g["next_hop"], g["med"], g["atomic_aggregate"], g["aggregator_ip"]) == ("IGP", "65001 70000", 2, "10.0.0.1", 50, True, "9.9.9.9")
+    assert (g["nlri"], g["nlri_count"], g["withdrawn_routes"], g["withdrawn_count"]) == ("10.1.2.0/24,11.0.0.0/8", 2, "172.16.0.0/16", 1)
+    two = bytes([0x40, 2, 6, 2, 2]) + struct.pack(">HH", 1, 2)
+    two = struct.pack(">HH", 0, len(two)) + two
+    assert only(P.eth(P.ip(P.tcp(4000, 179, flags=24, payload=b"\xff" * 16 + struct.pack(">HB", 19 + len(two), 2) + two), 6)), "bgp")["as_path"] == "1 2"
+    opened = struct.pack(">BHHIB", 4, 23456, 180, 1, 8) + bytes([2, 6, 65, 4]) + struct.pack(">I", 70000)
+    o = only(P.eth(P.ip(P.tcp(4000, 179, flags=24, payload=b"\xff" * 16 + struct.pack(">HB", 19 + len(opened), 1) + opened), 6)), "bgp")
+    assert o["my_as_4byte"] == 70000 and o["capabilities"] == "4-byte AS"
+    assert only(P.eth(P.ip(P.tcp(4000, 179, flags=24, payload=b"\xff" * 16 + struct.pack(">HBBB", 21, 3, 6, 2)), 6)), "bgp")["error_code_name"] == "Cease"
+    lsa = struct.pack(">HBBIIIHH", 1, 0, 1, 0x01010101, 0x02020202, 0x80000001, 0, 20)
+    packet = struct.pack(">BBHIIHHQ", 2, 4, 24 + 4 + 20, 1, 0, 0, 0, 0) + struct.pack(">I", 1) + lsa
+    assert only(P.eth(P.ip(packet, 89)), "ospf")["lsa_type_name"] == "Router-LSA"
+    hop = struct.pack(">BB6x", 44, 0) + struct.pack(">BBHI", 58, 0, 1, 7) + struct.pack(">BBHHH", 128, 0, 0, 1, 2)
+    six = only(P.eth(P.ip6(hop, 0), 0x86DD), "ipv6")
+    assert six["ext_hop_by_hop"] and six["frag_more"] and six["frag_id"] == 7 and not six["ext_routing"]
+    assert only(P.eth((3 << 12 | 0x100 | 9).to_bytes(4, "big"), 0x8847), "mpls")["special_label_name"] == "Implicit NULL"

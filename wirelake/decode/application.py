@@ -6,7 +6,7 @@ import re
 from typing import Any
 
 from wirelake.decode.core import Hints, Layer, Short, decoder, need, quad, u16, u32
-from wirelake.functions.names import BGP_MESSAGE
+from wirelake.functions.names import BGP_MESSAGE, BGP_ORIGIN
 
 # fixed values
 _SSH_MESSAGE = {
@@ -14,6 +14,10 @@ _SSH_MESSAGE = {
     51: "USERAUTH_FAILURE", 52: "USERAUTH_SUCCESS", 53: "USERAUTH_BANNER", 90: "CHANNEL_OPEN", 91: "CHANNEL_OPEN_CONFIRMATION", 92: "CHANNEL_OPEN_FAILURE", 93: "CHANNEL_WINDOW_ADJUST", 94: "CHANNEL_DATA",
     95: "CHANNEL_EXTENDED_DATA", 96: "CHANNEL_EOF", 97: "CHANNEL_CLOSE", 98: "CHANNEL_REQUEST", 99: "CHANNEL_SUCCESS", 100: "CHANNEL_FAILURE",
 }
+_BGP_CAPABILITY = {1: "Multiprotocol", 2: "Route Refresh", 3: "ORF", 5: "Extended Next Hop", 6: "Extended Message", 64: "Graceful Restart", 65: "4-byte AS", 69: "ADD-PATH", 70: "Enhanced Route Refresh"}
+_BGP_ERROR = {
+    1: "Message Header Error", 2: "OPEN Message Error", 3: "UPDATE Message Error", 4: "Hold Timer Expired", 5: "Finite State Machine Error", 6: "Cease", 7: "ROUTE-REFRESH Message Error",
+}
 _QUIC_VERSION = {0: "Version Negotiation", 1: "QUIC v1", 0x6B3343CF: "QUIC v2"}
 _QUIC_PACKET = ("Initial", "0-RTT", "Handshake", "Retry")
 
@@ -228,13 +232,93 @@ def bgp(b: bytes, h: Hints) -> Layer:
     if b[:16] != b"\xff" * 16 or not 19 <= size <= 4096:
         raise Short()
     out: dict[str, Any] = {"message_type": kind, "message_type_name": BGP_MESSAGE.get(kind, "UNKNOWN"), "length": size}
+    body = b[:size]
     if kind == 1:
         need(b, 29, out)
         out |= {"version": b[19], "my_as": u16(b, 20), "hold_time": u16(b, 22), "bgp_id": quad(b, 24)}
+        found = []
+        for code, v in _bgp_options(body[29:]):
+            found.append(_BGP_CAPABILITY.get(code, str(code)))
+            if code == 65 and len(v) == 4:
+                out["my_as_4byte"] = u32(v, 0)
+        if found:
+            out["capabilities"] = ",".join(found)
     elif kind == 2:
         need(b, 21, out)
-        out["withdrawn_routes_len"] = u16(b, 19)
-        at = 21 + out["withdrawn_routes_len"]
+        out["withdrawn_routes_len"] = n = u16(b, 19)
+        at = 21 + n
         need(b, at + 2, out)
-        out["path_attr_len"] = u16(b, at)
+        out["path_attr_len"] = m = u16(b, at)
+        for name, part in (("withdrawn_routes", body[21:at]), ("nlri", body[at + 2 + m :])):
+            if routes := _bgp_routes(part):
+                out |= {name: ",".join(routes), name.replace("_routes", "") + "_count": len(routes)}
+        _bgp_attributes(body[at + 2 : at + 2 + m], out)
+    elif kind == 3 and len(body) >= 21:
+        out |= {"error_code": b[19], "error_code_name": _BGP_ERROR.get(b[19], "Unknown"), "error_subcode": b[20]}
+    elif kind == 5 and len(body) >= 23:
+        out |= {"afi": u16(b, 19), "safi": b[22]}
     return out, b"", None
+
+
+def _bgp_options(b: bytes) -> list[tuple[int, bytes]]:
+    """Capabilities in the optional parameters of an OPEN message."""
+    out, at = [], 0
+    while at + 2 <= len(b):
+        kind, size = b[at], b[at + 1]
+        inner, k = b[at + 2 : at + 2 + size], 0
+        while kind == 2 and k + 2 <= len(inner):
+            out.append((inner[k], inner[k + 2 : k + 2 + inner[k + 1]]))
+            k += 2 + inner[k + 1]
+        at += 2 + size
+    return out
+
+
+def _bgp_routes(b: bytes) -> list[str]:
+    """Prefixes of version 4."""
+    out, at = [], 0
+    while at < len(b) and b[at] <= 32 and at + 1 + (n := (b[at] + 7) // 8) <= len(b):
+        out.append(f"{quad(b[at + 1 : at + 1 + n] + bytes(4 - n))}/{b[at]}")
+        at += 1 + n
+    return out
+
+
+def _bgp_attributes(b: bytes, out: dict[str, Any]) -> None:
+    at = 0
+    while at + 3 <= len(b):
+        long = b[at] & 0x10
+        if at + 3 + bool(long) > len(b):
+            return
+        kind, size = b[at + 1], u16(b, at + 2) if long else b[at + 2]
+        at += 4 if long else 3
+        v = b[at : at + size]
+        at += size
+        if kind == 1 and v:
+            out |= {"origin": v[0], "origin_name": BGP_ORIGIN.get(v[0], "UNKNOWN")}
+        elif kind == 2:
+            # a speaker of four-byte numbers fills the segments exactly with them
+            path = _as_path(v, 4) or _as_path(v, 2) or []
+            out |= {"as_path": " ".join(path), "as_path_length": len(path)}
+        elif kind == 3 and size == 4:
+            out["next_hop"] = quad(v)
+        elif kind in (4, 5) and size == 4:
+            out["med" if kind == 4 else "local_pref"] = u32(v, 0)
+        elif kind == 6:
+            out["atomic_aggregate"] = True
+        elif kind == 7 and size in (6, 8):
+            out |= {"aggregator_as": int.from_bytes(v[:-4], "big"), "aggregator_ip": quad(v, size - 4)}
+        elif kind in (14, 15) and size >= 3:
+            out |= {"afi": u16(v, 0), "safi": v[2]}
+
+
+def _as_path(v: bytes, width: int) -> list[str] | None:
+    """Numbers of a path if its segments have this width; sets are in braces."""
+    out, at = [], 0
+    while at + 2 <= len(v):
+        kind, n = v[at], v[at + 1]
+        end = at + 2 + n * width
+        if kind not in (1, 2, 3, 4) or end > len(v):
+            return None
+        numbers = [str(int.from_bytes(v[i : i + width], "big")) for i in range(at + 2, end, width)]
+        out.extend(["{" + ",".join(numbers) + "}"] if kind == 1 else numbers)
+        at = end
+    return out if at == len(v) else None

@@ -15,6 +15,7 @@ _NETLINK_FAMILY = {
     0: "ROUTE", 2: "USERSOCK", 3: "FIREWALL", 4: "SOCK_DIAG", 5: "NFLOG", 6: "XFRM", 7: "SELINUX", 8: "ISCSI", 9: "AUDIT", 10: "FIB_LOOKUP", 11: "CONNECTOR", 12: "NETFILTER", 13: "IP6_FW", 14: "DNRTMSG",
     15: "KOBJECT_UEVENT", 16: "GENERIC", 18: "SCSITRANSPORT", 19: "ECRYPTFS", 20: "RDMA", 21: "CRYPTO",
 }
+_MPLS_LABEL = {0: "IPv4 Explicit NULL", 1: "Router Alert", 2: "IPv6 Explicit NULL", 3: "Implicit NULL", 7: "Entropy Label Indicator", 13: "GAL", 14: "OAM Alert", 15: "Extension"}
 _NETLINK_TYPE = {1: "NLMSG_NOOP", 2: "NLMSG_ERROR", 3: "NLMSG_DONE", 4: "NLMSG_OVERRUN"}
 _ROUTE_TYPE = {
     16: "RTM_NEWLINK", 17: "RTM_DELLINK", 18: "RTM_GETLINK", 19: "RTM_SETLINK", 20: "RTM_NEWADDR", 21: "RTM_DELADDR", 22: "RTM_GETADDR", 24: "RTM_NEWROUTE", 25: "RTM_DELROUTE", 26: "RTM_GETROUTE",
@@ -73,6 +74,7 @@ def mpls(b: bytes, h: Hints) -> Layer:
     out = {
         "label": top >> 12, "tc": (top >> 9) & 7, "bottom": bool(stack[-1] & 0x100), "ttl": top & 0xFF, "stack_depth": len(stack), "labels": ",".join(str(e >> 12) for e in stack),
     }
+    out |= {"is_reserved_label": top >> 12 < 16, "special_label_name": _MPLS_LABEL.get(top >> 12)}
     inner = {4: 0x0800, 6: 0x86DD}.get(rest[0] >> 4) if rest else None
     return out, rest, Hints(ethertype=inner, tunnel=("mpls", top >> 12)) if inner else None
 

@@ -5,11 +5,17 @@ from __future__ import annotations
 from typing import Any
 
 from wirelake.decode.core import Hints, Layer, Short, decoder, need, quad, u16, u32
-from wirelake.functions.names import ICMP_TYPE, ICMPV6_TYPE, OSPF_PACKET
+from wirelake.functions.names import ICMP_TYPE, ICMPV6_TYPE, OSPF_LSA, OSPF_PACKET
 
 #: IP protocol -> tunnel, by the version of the outer header
 _IP_TUNNELS = {4: {4: "ipinip", 41: "ip6inip"}, 6: {4: "ip4inip6", 41: "ip6inip6"}}
 
+# fixed values
+_GTP_EXTENSION = {
+    0x01: "MBMS Support Indication", 0x02: "MS Info Change Reporting", 0x20: "Service Class Indicator", 0x40: "UDP Port", 0x81: "RAN Container", 0x82: "Long PDCP PDU Number", 0x83: "Xw RAN Container",
+    0x84: "NR RAN Container", 0x85: "PDU Session Container", 0xC0: "PDCP PDU Number",
+}
+
 
 def _carried(protocol: int, version: int) -> Hints:
     """Hints below an IP header: another IP packet, or a transport."""
@@ -44,9 +50,15 @@ def ipv6(b: bytes, h: Hints) -> Layer:
     head, size, nxt = u32(b, 0), u16(b, 4), b[6]
     out = {"version": 6, "traffic_class": (head >> 20) & 0xFF, "flow_label": head & 0xFFFFF, "payload_length": size, "next_header": nxt, "hop_limit": b[7], "src_ip": b[8:24], "dst_ip": b[24:40]}
     rest = b[40 : 40 + size] if 0 < size <= len(b) - 40 else b[40:]
+    out |= {"ext_hop_by_hop": False, "ext_routing": False, "ext_fragment": False, "ext_destination": False}
     # hop-by-hop, routing, fragment, destination options, mobility; authentication is a layer of its own
     while nxt in (0, 43, 44, 60, 135) and len(rest) >= 8:
+        if name := {0: "ext_hop_by_hop", 43: "ext_routing", 44: "ext_fragment", 60: "ext_destination"}.get(nxt):
+            out[name] = True
+        if nxt == 43:
+            out |= {"routing_type": rest[2], "segments_left": rest[3]}
         if nxt == 44:
+            out |= {"frag_offset": u16(rest, 2) >> 3, "frag_more": bool(rest[3] & 1), "frag_id": u32(rest, 4)}
             if u16(rest, 2) & 0xFFF8:
                 return out, rest, None
             length = 8
@@ -183,6 +195,7 @@ def gre(b: bytes, h: Hints) -> Layer:
             need(b, at + 4, out)
             out[name] = u16(b, at) if name == "checksum" else u32(b, at)
             at += 4
+    out |= {"version_name": {0: "GRE", 1: "PPTP"}.get(flags & 7, "Unknown"), "header_length": at}
     # Ethernet in GRE goes on with a link header
     nxt = Hints(link_type=1) if protocol == 0x6558 else Hints(ethertype=protocol)
     nxt.tunnel = ("gre", out.get("key"))
@@ -193,7 +206,7 @@ def gre(b: bytes, h: Hints) -> Layer:
 def vxlan(b: bytes, h: Hints) -> Layer:
     need(b, 8)
     vni = u32(b, 4) >> 8
-    return {"flags": b[0], "vni": vni}, b[8:], Hints(link_type=1, tunnel=("vxlan", vni))
+    return {"flags": b[0], "vni": vni, "i_flag_valid": bool(b[0] & 8), "flags_valid": b[0] == 8, "inner_frame_length": len(b) - 8}, b[8:], Hints(link_type=1, tunnel=("vxlan", vni))
 
 
 @decoder("gtp", lambda h: h.dst_port in (2152, 2123), about="Tunnels of mobile networks")
@@ -202,6 +215,7 @@ def gtp(b: bytes, h: Hints) -> Layer:
     version, kind = b[0] >> 5, b[1]
     out: dict[str, Any] = {"version": version, "protocol_type": (b[0] >> 4) & 1, "message_type": kind, "length": u16(b, 2)}
     if version == 2:
+        out |= {"piggyback": bool(b[0] & 16), "teid_present": bool(b[0] & 8)}
         if b[0] & 8:
             need(b, 12, out)
             out |= {"teid": u32(b, 4), "sequence": int.from_bytes(b[8:11], "big") & 0xFFFF}
@@ -214,9 +228,13 @@ def gtp(b: bytes, h: Hints) -> Layer:
         need(b, 12, out)
         if b[0] & 2:
             out["sequence"] = u16(b, 8)
-        ext, at = b[11] if b[0] & 4 else 0, 12
+        if b[0] & 1:
+            out["npdu"] = b[10]
+        ext, at, seen = b[11] if b[0] & 4 else 0, 12, []
         while ext and at < len(b) and b[at]:
             size = b[at] * 4
+            seen.append(_GTP_EXTENSION.get(ext, f"0x{ext:02x}"))
+            out |= {"extension_headers": ",".join(seen), "extension_header_count": len(seen)}
             need(b, at + size, out)
             ext, at = b[at + size - 1], at + size
     rest = b[at:]
@@ -245,5 +263,18 @@ def ospf(b: bytes, h: Hints) -> Layer:
         need(b, 24, out)
         out["auth_type"] = u16(b, 14)
         if kind == 1 and len(b) >= 44:
-            out |= {"hello_interval": u16(b, 28), "dead_interval": u32(b, 32), "designated_router": quad(b, 36), "backup_dr": quad(b, 40)}
+            out |= {"hello_interval": u16(b, 28), "dead_interval": u32(b, 32), "designated_router": quad(b, 36), "backup_dr": quad(b, 40), "neighbor_count": (len(b[:out["length"]]) - 44) // 4}
+        body = b[24 : max(24, out["length"])]
+        lsa = None
+        if kind == 2 and len(body) >= 8:
+            out |= {"dd_interface_mtu": u16(body, 0), "dd_options": body[2], "dd_flags": body[3], "dd_sequence": u32(body, 4), "dd_lsa_count": (len(body) - 8) // 20}
+            lsa = body[8:28]
+        elif kind == 4 and len(body) >= 4:
+            out["lsu_lsa_count"] = u32(body, 0)
+            lsa = body[4:24]
+        elif kind == 5:
+            out["lsa_ack_count"] = len(body) // 20
+            lsa = body[:20]
+        if lsa is not None and len(lsa) == 20:
+            out |= {"lsa_age": u16(lsa, 0), "lsa_type": lsa[3], "lsa_type_name": OSPF_LSA.get(lsa[3], "Unknown"), "lsa_id": quad(lsa, 4), "lsa_advertising_router": quad(lsa, 8), "lsa_sequence": u32(lsa, 12)}
     return out, b"", None

@@ -1,13 +1,11 @@
 """Protocol tables of a frames DataFrame.
 
-:func:`table` decodes one protocol straight into its table, stopping early at layers that cannot lead
-to it. :func:`layers` decodes every protocol in one pass; stored as Parquet by protocol it is what
+:func:`table` decodes one protocol straight into its table. :func:`layers` decodes every protocol in one pass; stored as Parquet by protocol it is what
 many tables over the same capture should read.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,17 +21,16 @@ from wirelake import schema
 from wirelake.decode import core
 from wirelake.session import spread
 
-def _rows(batches: Iterator[pa.RecordBatch], wanted: frozenset[str]) -> Iterator[dict[str, list[tuple]]]:
-    """Per batch the rows of the wanted protocols; column values in the order of the schema."""
-    order = {n: [c for c, _ in schema.own_fields(n)] for n in wanted}
+def _rows(batches: Iterator[pa.RecordBatch], name: str, order: list[str]) -> Iterator[list[tuple]]:
+    """Per batch the rows of a protocol, with the columns in the given order."""
     for batch in batches:
-        out: dict[str, list[tuple]] = defaultdict(list)
-        for number, link, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        out = []
+        for number, link, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if data is None or link is None:
                 continue
-            for name, depth, kind, ident, fields in core.layers(data, link):
-                if name in wanted:
-                    out[name].append((number, *(fields.get(c) for c in order[name]), depth, kind, ident))
+            for proto, depth, kind, ident, fields in core.layers(data, link):
+                if proto == name:
+                    out.append((number, *(fields.get(c) for c in order), depth, kind, ident))
         yield out
 
 
@@ -42,19 +39,19 @@ def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kind, strict=True)], schema=kind)
 
 
-def table(frames: DataFrame, name: str) -> DataFrame:
+def table(frames: DataFrame, name: str, extended: bool = False) -> DataFrame:
     """The table of one protocol. Frames with NULL data or link type give no rows; a frame may give
-    several, one per occurrence; headers that are cut off give rows with NULL fields."""
+    several, one per occurrence; headers that are cut off give rows with NULL fields. ``extended`` adds
+    the further fields that some protocols have."""
     if name == "frames":
         return frames.select(*[F.col(c) for c, _ in schema.fields("frames")])
-    arrow = schema.arrow_schema(name)
-    cut = pa.schema([f for f in arrow])
+    arrow, order = schema.arrow_schema(name, extended), [c for c, _ in schema.own_fields(name, extended)]
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _rows(batches, frozenset((name,))):
-            yield _batch(rows.get(name, []), cut)
+        for rows in _rows(batches, name, order):
+            yield _batch(rows, arrow)
 
-    return spread(frames.select("frame_number", "link_type", "raw_data")).mapInArrow(decode, schema.spark_schema(name))
+    return spread(frames.select("frame_number", "link_type", "raw_data")).mapInArrow(decode, schema.spark_schema(name, extended))
 
 
 #: Arrays that a layer's fields are packed into by kind: name -> (kinds, Spark type, Arrow type).

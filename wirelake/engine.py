@@ -12,6 +12,7 @@ from wirelake import schema
 from wirelake.decode import core, tables
 from wirelake.functions import catalogue, table_functions
 from wirelake.plans import filters, views
+from wirelake.sources import datasource
 from wirelake.sources.datasource import frames as read_frames
 from wirelake.streaming import analysis
 
@@ -34,7 +35,7 @@ class Engine:
         ``key_log`` (the text of one) what can be decrypted with it. Numbers of frames are unique in a
         capture; of several captures every one but the first goes on where the one before ended.
         """
-        frames = _one_numbering(read_frames(spark, path, **options))
+        frames = _one_numbering(read_frames(spark, path, **options), path)
         if store:
             frames.write.mode("overwrite").parquet(f"{store}/frames")
             frames = spark.read.parquet(f"{store}/frames")
@@ -51,6 +52,7 @@ class Engine:
             made |= {n: analysis.stream_table(engine.found, ids, n) for n in analysis.KINDS}
         else:
             made |= {n: spark.createDataFrame([], schema.spark_schema(n)) for n in ("http", "http2")}
+        made |= {f"{n}_extended": tables.table(frames, n, extended=True) for n in schema.EXTENDED}
         for name, df in made.items():
             df.createOrReplaceTempView(name)
         catalogue.register(spark)
@@ -73,13 +75,13 @@ class Engine:
             self.found.unpersist()
 
 
-def _one_numbering(frames: DataFrame) -> DataFrame:
+def _one_numbering(frames: DataFrame, path: str) -> DataFrame:
     """Frames of several captures under one numbering. One capture is left as it is."""
     spark = frames.sparkSession
-    # one row per file
-    sizes = frames.groupBy("capture").agg(F.max("frame_number").alias("n")).orderBy("capture").collect()
-    if len(sizes) < 2:
+    if len(datasource._paths(path)) < 2:
         return frames
+    # one row per file; counting reads the files once more
+    sizes = frames.groupBy("capture").agg(F.max("frame_number").alias("n")).orderBy("capture").collect()
     before, total = [], 0
     for r in sizes:
         before.append((r["capture"], total))
@@ -115,7 +117,7 @@ def cache_stats(spark: SparkSession) -> DataFrame:
 
 def read_pcap(spark: SparkSession, path: str, protocol: str = "frames", **options: str) -> DataFrame:
     """One table of captures without opening an engine; ``frames`` comes without its bytes."""
-    frames = _one_numbering(read_frames(spark, path, **options))
+    frames = _one_numbering(read_frames(spark, path, **options), path)
     return frames.drop("raw_data", "capture") if protocol == "frames" else tables.table(frames, protocol)
 
 

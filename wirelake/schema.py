@@ -73,6 +73,22 @@ PROTOCOLS = {
         "dst_prefix_len u8, src_prefix_len u8, route_table u8, route_protocol u8, route_scope u8, route_type u8, destination str, gateway str, oif_index u32"
     ),
 }
+# Further fields that the extended tables show between the own columns and the encapsulation.
+EXTENDED = {
+    "ipv6": "ext_hop_by_hop bool, ext_routing bool, ext_fragment bool, ext_destination bool, frag_offset u16, frag_more bool, frag_id u32, routing_type u8, segments_left u8",
+    "gre": "version_name str, header_length u8",
+    "vxlan": "i_flag_valid bool, flags_valid bool, inner_frame_length u32",
+    "bgp": (
+        "my_as_4byte u32, capabilities str, withdrawn_routes str, withdrawn_count u16, origin u8, origin_name str, as_path str, as_path_length u16, next_hop str, med u32, local_pref u32, atomic_aggregate bool, aggregator_as u32, "
+        "aggregator_ip str, nlri str, nlri_count u16, error_code u8, error_code_name str, error_subcode u8, afi u16, safi u8"
+    ),
+    "ospf": (
+        "neighbor_count u16, dd_interface_mtu u16, dd_options u8, dd_flags u8, dd_sequence u32, dd_lsa_count u16, lsu_lsa_count u32, lsa_age u16, lsa_type u8, lsa_type_name str, lsa_id str, lsa_advertising_router str, "
+        "lsa_sequence u32, lsa_ack_count u16"
+    ),
+    "mpls": "is_reserved_label bool, special_label_name str",
+    "gtp": "npdu u8, extension_headers str, extension_header_count u8, piggyback bool, teid_present bool",
+}
 # The tables that streams fill.
 STREAMS = {
     "tcp_connections": (
@@ -93,27 +109,27 @@ def _fields(text: str) -> list[tuple[str, str]]:
     return [tuple(part.split()) for part in text.split(", ")]
 
 
-def fields(name: str) -> list[tuple[str, str]]:
+def fields(name: str, extended: bool = False) -> list[tuple[str, str]]:
     """(column, kind) of a table."""
     if name == "frames":
         return _fields(_FRAMES)
     if name in STREAMS:
         return _fields(STREAMS[name])
-    return [("frame_number", "u64"), *_fields(PROTOCOLS[name]), *_fields(_ENCAP)]
+    return [("frame_number", "u64"), *own_fields(name, extended), *_fields(_ENCAP)]
 
 
-def own_fields(name: str) -> list[tuple[str, str]]:
+def own_fields(name: str, extended: bool = False) -> list[tuple[str, str]]:
     """(column, kind) of a protocol's own columns."""
-    return _fields(PROTOCOLS[name])
+    return _fields(PROTOCOLS[name]) + (_fields(EXTENDED[name]) if extended and name in EXTENDED else [])
 
 
-def spark_schema(name: str) -> T.StructType:
+def spark_schema(name: str, extended: bool = False) -> T.StructType:
     solid = {"frame_number", "encap_depth"}
-    return T.StructType([T.StructField(c, _KINDS[k][0], c not in solid) for c, k in fields(name)])
+    return T.StructType([T.StructField(c, _KINDS[k][0], c not in solid) for c, k in fields(name, extended)])
 
 
-def arrow_schema(name: str) -> pa.Schema:
-    return pa.schema([pa.field(c, _KINDS[k][1]) for c, k in fields(name)])
+def arrow_schema(name: str, extended: bool = False) -> pa.Schema:
+    return pa.schema([pa.field(c, _KINDS[k][1]) for c, k in fields(name, extended)])
 
 
 TABLES = ("frames", *PROTOCOLS)

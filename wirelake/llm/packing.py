@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.session import cut
+from wirelake.session import cut, spread
 
 CAPACITY = 2048
 #: Items of a group: bounds the memory and time of one local search.
@@ -52,7 +52,7 @@ def token_counts(documents: DataFrame, doc_id: str = "doc_id", text: str = "text
             n = [len(enc.encode_ordinary(t)) if t else 0 for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64())], ["doc_id", "n_tokens"])
 
-    return docs.mapInArrow(count, f"doc_id {kind}, n_tokens long")
+    return spread(docs).mapInArrow(count, f"doc_id {kind}, n_tokens long")
 
 
 class _Bin:

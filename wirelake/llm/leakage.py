@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from wirelake.session import spread
+
 #: Words of a pattern, of the shortest passage, and words per replaced word.
 SEED, LEAST, ONE_IN = 3, 20, 7
 #: Runs of ``SEED`` words that at most ``OWNERS`` different items hold are an item's own; a passage with
@@ -296,7 +298,7 @@ def leaked(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                     i, a, z = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids)), pa.array([names[x] for x in i]), pa.array(a, pa.int64()), pa.array(z, pa.int64())], ["doc_id", "item_id", "start", "end"])
 
-        part = docs.mapInArrow(scan, schema)
+        part = spread(docs).mapInArrow(scan, schema)
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -63,12 +63,12 @@ def test_splits_and_link_types(spark, tmp_path):
     assert both.count() == 202 and both.select("frame_number").distinct().count() == 202
 
 
-@pytest.mark.parametrize("store", [False, True])
-def test_engine_tables_and_views(spark, tmp_path, store):
+@pytest.mark.parametrize("store,cache", [(False, True), (True, False), (False, False)])
+def test_engine_tables_and_views(spark, tmp_path, store, cache):
     inner = P.ip(P.tcp(5, 6), 6, "10.1.1.1", "10.1.1.2")
     frames = [*FRAMES, P.eth(P.ip(P.udp(9, 4789, b"\x08\0\0\0" + (100 << 8).to_bytes(4, "big") + P.eth(inner)), 17)), P.eth(P.ip6(inner, 4), 0x86DD), P.eth(P.ip6(P.ip6(P.udp(1, 2, b""), 17), 41), 0x86DD)]
     (tmp_path / "c.pcap").write_bytes(P.pcap(frames))
-    e = Engine.open(spark, str(tmp_path / "c.pcap"), store=str(tmp_path / "s") if store else None)
+    e = Engine.open(spark, str(tmp_path / "c.pcap"), store=str(tmp_path / "s") if store else None, cache=cache)
     for t in schema.TABLES:
         want = schema.spark_schema(t).simpleString()
         assert e.table(t).schema.simpleString() == (want if t != "http2" else want[:-1] + ",connection_id:bigint>"), t

@@ -180,7 +180,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if not a.file:
         arguments().error("a capture is needed")
-    opened = engine.Engine.open(spark, a.file, key_log_text(a.keylog), a.store, a.track_streams, a.stream_timeout, a.max_stream_memory)
+    opened = engine.Engine.open(spark, a.file, key_log_text(a.keylog), a.store, a.track_streams, idle_s=a.stream_timeout, stream_bytes=a.max_stream_memory)
     register(spark, shadow=True)
     texts = statements(a.execute) if a.execute else statements(Path(a.sql_file).read_text()) if a.sql_file else []
     if a.stats:

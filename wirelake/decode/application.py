@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from typing import Any
 
-from wirelake.decode.core import Hints, Layer, Short, decoder, need, quad, u16, u32
+from wirelake.decode.core import PORTS, Hints, Layer, Short, decoder, need, quad, u16, u32
 from wirelake.functions.names import BGP_MESSAGE, BGP_ORIGIN
 
 # fixed values
@@ -23,6 +23,8 @@ _QUIC_PACKET = ("Initial", "0-RTT", "Handshake", "Retry")
 
 
 def on(*ports: int):
+    """Either port is one of these."""
+    PORTS.update(ports)
     return lambda h: h.transport is not None and (h.src_port in ports or h.dst_port in ports)
 
 

@@ -56,13 +56,22 @@ class Decoder:
 
 
 REGISTRY: list[Decoder] = []
+#: Ports that some decoder asks for; all others are alike to the dispatch.
+PORTS: set[int] = set()
+_CHOSEN: dict[tuple, Decoder | None] = {}
 
 
-def decoder(name: str, wants: Callable[[Hints], bool], priority: int = 0, about: str = "") -> Callable:
-    """Register a decoder; of several that want a layer the greatest priority wins, then the last."""
+def decoder(name: str, wants: Callable[[Hints], bool], priority: int = 0, about: str = "", ports: tuple[int, ...] = ()) -> Callable:
+    """Register a decoder; of several that want a layer the greatest priority wins, then the last.
+
+    ``wants`` may look at every hint, but at the numbers of ports only if they are in ``ports`` of some
+    decoder, as its answers are kept.
+    """
+    PORTS.update(ports)
 
     def add(parse: Callable[[bytes, Hints], Layer]) -> Callable[[bytes, Hints], Layer]:
         REGISTRY.append(Decoder(name, wants, parse, priority, about))
+        _CHOSEN.clear()
         return parse
 
     return add
@@ -77,10 +86,21 @@ def loaded() -> list[Decoder]:
 
 
 def chosen(hints: Hints) -> Decoder | None:
+    """The decoder of the next layer."""
+    sport, dport = hints.src_port, hints.dst_port
+    key = (
+        hints.link_type, hints.ethertype, hints.ip_protocol, hints.ip_version, hints.transport, sport if sport in PORTS else sport is None, dport if dport in PORTS else dport is None, hints.parent, hints.family,
+        "rt_type" in hints.extra, bool(hints.extra.get("netlink")),
+    )
+    if key in _CHOSEN:
+        return _CHOSEN[key]
     best = None
     for d in REGISTRY or loaded():
         if (best is None or d.priority >= best.priority) and d.wants(hints):
             best = d
+    if len(_CHOSEN) > 100_000:
+        _CHOSEN.clear()
+    _CHOSEN[key] = best
     return best
 
 

@@ -202,14 +202,14 @@ def gre(b: bytes, h: Hints) -> Layer:
     return out, b[at:], nxt
 
 
-@decoder("vxlan", lambda h: h.dst_port == 4789, about="Virtual networks over UDP")
+@decoder("vxlan", lambda h: h.dst_port == 4789, about="Virtual networks over UDP", ports=(4789,))
 def vxlan(b: bytes, h: Hints) -> Layer:
     need(b, 8)
     vni = u32(b, 4) >> 8
     return {"flags": b[0], "vni": vni, "i_flag_valid": bool(b[0] & 8), "flags_valid": b[0] == 8, "inner_frame_length": len(b) - 8}, b[8:], Hints(link_type=1, tunnel=("vxlan", vni))
 
 
-@decoder("gtp", lambda h: h.dst_port in (2152, 2123), about="Tunnels of mobile networks")
+@decoder("gtp", lambda h: h.dst_port in (2152, 2123), about="Tunnels of mobile networks", ports=(2152, 2123))
 def gtp(b: bytes, h: Hints) -> Layer:
     need(b, 8)
     version, kind = b[0] >> 5, b[1]

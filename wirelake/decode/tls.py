@@ -145,7 +145,10 @@ def server_hello(b: bytes) -> dict[str, Any]:
     } | _extension_fields(found, True)
 
 
-@decoder("tls", lambda h: h.transport == "tcp" and on(*PORTS)(h), priority=50, about="Transport layer security")
+_PORT = on(*PORTS)
+
+
+@decoder("tls", lambda h: h.transport == "tcp" and _PORT(h), priority=50, about="Transport layer security")
 def tls(b: bytes, h: Hints) -> Layer:
     need(b, 5)
     kind, version, size = b[0], u16(b, 1), u16(b, 3)

@@ -24,28 +24,34 @@ class Engine:
     spark: SparkSession
     frames: DataFrame
     found: DataFrame | None = None
+    kept: DataFrame | None = None
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, key_log: str = "", store: str | None = None, streams: bool = True, idle_s: int = 300, stream_bytes: int = analysis.MOST_BYTES, capture_time: bool = True, **options: str) -> Engine:
+    def open(cls, spark: SparkSession, path: str, key_log: str = "", store: str | None = None, streams: bool = True, cache: bool = True, idle_s: int = 300, stream_bytes: int = analysis.MOST_BYTES, capture_time: bool = True, **options: str) -> Engine:
         """Open the captures at a path, glob or list.
 
-        Every table decodes the frames when it is read. With ``store``, frames and layers are decoded once and
-        written there as Parquet partitioned by protocol, and the tables read that: the way to go when
-        a capture is queried more than a few times. ``streams`` adds the tables of TCP streams, and
+        Frames are decoded once, at the first query, and the layers kept in memory and on disk; without
+        ``cache`` every table decodes what it needs when it is read. With ``store``, frames and layers are
+        written there as Parquet partitioned by protocol, and the tables read that: the way to go for large
+        captures, and for those that are queried more than once. ``streams`` adds the tables of TCP streams, and
         ``key_log`` (the text of one) what can be decrypted with it. Numbers of frames are unique in a
         capture; of several captures every one but the first goes on where the one before ended.
         """
         frames = _one_numbering(read_frames(spark, path, **options), path)
+        kept = None
         if store:
             frames.write.mode("overwrite").parquet(f"{store}/frames")
             frames = spark.read.parquet(f"{store}/frames")
             tables.layers(frames).write.mode("overwrite").partitionBy("proto").parquet(f"{store}/layers")
             decoded = spark.read.parquet(f"{store}/layers")
             made = {n: tables.from_layers(decoded, n) for n in schema.PROTOCOLS if n not in ("http", "http2")}
+        elif cache:
+            kept = tables.layers(frames).persist(StorageLevel.MEMORY_AND_DISK)
+            made = {n: tables.from_layers(kept, n) for n in schema.PROTOCOLS if n not in ("http", "http2")}
         else:
             made = {n: tables.table(frames, n) for n in schema.PROTOCOLS if n not in ("http", "http2")}
         made["frames"] = tables.table(frames, "frames")
-        engine = cls(spark, frames)
+        engine = cls(spark, frames, kept=kept)
         if streams:
             engine.found = analysis.analysed(frames, key_log, idle_s * 1_000_000, stream_bytes).persist(StorageLevel.MEMORY_AND_DISK)
             ids = analysis.numbered(engine.found)
@@ -71,8 +77,9 @@ class Engine:
         return self.spark.table(name)
 
     def close(self) -> None:
-        if self.found is not None:
-            self.found.unpersist()
+        for df in (self.found, self.kept):
+            if df is not None:
+                df.unpersist()
 
 
 def _one_numbering(frames: DataFrame, path: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from wirelake.operators import dense, hdr, sessions
-from wirelake.operators.capture import once, plain_name, week_of
+from wirelake.operators.capture import once, once_without_key, plain_name, week_of
 from wirelake.functions import catalogue
 from wirelake.plans import filters
 from pyspark.sql import functions as F
@@ -23,13 +23,13 @@ def brute_dense(rows):
     return {(g, k, *x) for (g, k), x in out.items()}
 
 
-@pytest.mark.parametrize("flush", [7, 500_000])
-def test_dense_extremes(spark, flush):
+@pytest.mark.parametrize("flush,rows_held", [(7, 50), (500_000, 100_000)])
+def test_dense_extremes(spark, flush, rows_held):
     rnd = random.Random(3)
     # one key holds a third of the rows; NULLs in every column, ties, repeated rows
     rows = [(rnd.choice([1, 2, None]), 5 if rnd.random() < 0.33 else rnd.choice([None, *range(40)]), rnd.choice([None, 1, 2, 3]), rnd.choice([None, *range(9)])) for _ in range(4000)]
     df = spark.createDataFrame(rows, "grp long, k long, v int, t long").withColumns({"n": F.lit(1), "block": F.lit("x"), "group": F.lit(2), "__key": F.lit(0)})
-    got = {tuple(r) for r in dense.dense_extremes(df, "grp", "k", "v", "t", flush_keys=flush).collect()}
+    got = {tuple(r) for r in dense.dense_extremes(df, "grp", "k", "v", "t", flush_keys=flush, hold_rows=rows_held).collect()}
     assert got == brute_dense(rows)
     assert dense.dense_extremes(df.limit(0), "grp", "k", "v", "t").count() == 0
 
@@ -67,7 +67,7 @@ def test_pair_sessions(spark, gap, chunk):
 def test_once_and_names(spark):
     rows = [(1, None, "a"), (1, None, "a"), (1, "a", None), (2, "b", "b"), (None, "b", "b"), (None, "b", "b")]
     df = spark.createDataFrame(rows, "k long, x string, __row string")
-    assert once(df, "k", x=F.col("x")).count() == 4
+    assert once(df, "k", x=F.col("x")).count() == 3 and once_without_key(df, "k", x=F.col("x")).count() == 1
     names = spark.createDataFrame([("A.b..",), (".",), ("",), (None,)], "n string").select(plain_name(F.col("n"))).collect()
     assert [r[0] for r in names] == ["a.b", None, None, None]
     days = spark.range(-20, 40).select(F.col("id"), week_of(F.col("id")).alias("w")).collect()

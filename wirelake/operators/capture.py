@@ -9,19 +9,28 @@ from pyspark.sql import functions as F
 FIRST_REAL = "1971-01-01 00:00:00"
 
 
+def _wanted(df: DataFrame, key: str, wanted: dict[str, Column]) -> DataFrame:
+    names = [F.col(f"`{c}`") for c in df.columns]
+    # the hash skips NULLs, so which columns are NULL goes into it as well
+    row = F.xxhash64(*names, *[c.isNull() for c in names])
+    return df.select(F.col(f"`{key}`").alias("__key"), row.alias("__row"), *[c.alias(n) for n, c in wanted.items()])
+
+
 def once(df: DataFrame, key: str, **wanted: Column) -> DataFrame:
-    """``wanted`` columns of ``df`` with rows repeated in *all* columns of ``df`` kept once.
+    """``wanted`` columns of ``df`` with rows repeated in *all* columns of ``df`` kept once; rows with a
+    NULL ``key`` go.
 
     The row is shuffled as its wanted columns plus a 64-bit hash of all columns, partitioned by
     ``key`` alone, so a later join or grouping on ``key`` needs no second exchange. NULLs equal
     NULLs. Two rows merge only if the key, the wanted columns and the hash agree. Columns named
     ``__row`` in the input are safe: the input's names are only read, never kept.
     """
-    names = [F.col(f"`{c}`") for c in df.columns]
-    # the hash skips NULLs, so which columns are NULL goes into it as well
-    row = F.xxhash64(*names, *[c.isNull() for c in names])
-    out = df.select(F.col(f"`{key}`").alias("__key"), row.alias("__row"), *[c.alias(n) for n, c in wanted.items()])
-    return out.repartition("__key").dropDuplicates().drop("__row")
+    return _wanted(df, key, wanted).where("__key IS NOT NULL").repartition("__key").dropDuplicates().drop("__row")
+
+
+def once_without_key(df: DataFrame, key: str, **wanted: Column) -> DataFrame:
+    """The rows that :func:`once` leaves out. They share no key, so they are spread by their contents."""
+    return _wanted(df, key, wanted).where("__key IS NULL").dropDuplicates().drop("__row")
 
 
 def frame_days(frames: DataFrame) -> DataFrame:

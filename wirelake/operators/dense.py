@@ -24,6 +24,8 @@ from wirelake.session import cut, shuffle_width, small_side
 LOWEST, HIGHEST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 #: Distinct keys a split holds before it emits its blocks and starts anew.
 FLUSH_KEYS = 500_000
+#: Rows, or array slots, that wait before they are added to the accumulator at once.
+HOLD_ROWS = 100_000
 
 
 class _Accumulator:
@@ -59,7 +61,7 @@ def _longs(col: pa.ChunkedArray | pa.Array, fill: int) -> np.ndarray:
     return pc.fill_null(pc.cast(col, pa.int64()), fill).to_numpy(zero_copy_only=False)
 
 
-def dense_extremes(df: DataFrame, group: str, key: str, value: str, tie: str, blocks: int | None = None, flush_keys: int = FLUSH_KEYS) -> DataFrame:
+def dense_extremes(df: DataFrame, group: str, key: str, value: str, tie: str, blocks: int | None = None, flush_keys: int = FLUSH_KEYS, hold_rows: int = HOLD_ROWS) -> DataFrame:
     """Per (``group``, ``key``): row count ``n``, greatest ``value`` and smallest ``tie`` among its rows.
 
     All four columns must be integers. Result columns: ``group long, key long, n long, top long,
@@ -85,17 +87,24 @@ def dense_extremes(df: DataFrame, group: str, key: str, value: str, tie: str, bl
         yield pa.RecordBatch.from_arrays([pa.array(block[order][bounds].astype(np.int32)), *arrays], ["block", "a", "b", "null", "n", "top", "tie"])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = _Accumulator()
+        acc, waiting, held = _Accumulator(), [], 0
         for batch in batches:
             g, k, v, t = batch.columns
             keys = np.empty(len(batch), acc.keys.dtype)
             keys["a"], keys["b"] = _longs(g, 0), _longs(k, 0)
             keys["null"] = pc.is_null(g).to_numpy(zero_copy_only=False) + 2 * pc.is_null(k).to_numpy(zero_copy_only=False)
             none = pc.is_null(v).to_numpy(zero_copy_only=False)
-            acc.add(keys, np.ones(len(batch), np.int64), _longs(v, LOWEST), np.where(none, HIGHEST, _longs(t, HIGHEST)))
-            if len(acc.keys) >= flush_keys:
-                yield from encode(acc)
-                acc = _Accumulator()
+            waiting.append((keys, np.ones(len(batch), np.int64), _longs(v, LOWEST), np.where(none, HIGHEST, _longs(t, HIGHEST))))
+            held += len(batch)
+            # as many new rows as there are keys, so that each row is sorted a bounded number of times
+            if held > max(hold_rows, len(acc.keys)):
+                acc.add(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
+                waiting, held = [], 0
+                if len(acc.keys) >= flush_keys:
+                    yield from encode(acc)
+                    acc = _Accumulator()
+        if waiting:
+            acc.add(*(np.concatenate(x) for x in zip(*waiting, strict=True)))
         yield from encode(acc)
 
     def reduced(acc: _Accumulator) -> pa.RecordBatch:
@@ -128,7 +137,7 @@ def dense_extremes(df: DataFrame, group: str, key: str, value: str, tie: str, bl
                 keys["a"], keys["b"], keys["null"] = a, b, null
                 waiting.append((keys, n, top, tie))
                 held += len(a)
-                if held > max(100_000, len(acc.keys)):
+                if held > max(hold_rows, len(acc.keys)):
                     take()
                     held = 0
         if at is not None:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.operators.capture import FIRST_REAL, once
+from wirelake.operators.capture import FIRST_REAL, once, once_without_key
 from wirelake.session import cut
 
 #: A session ends after this many microseconds without an event.
@@ -81,15 +81,22 @@ def segment_entities(segments: DataFrame, ipv4: DataFrame) -> DataFrame:
     A segment belongs to its connection and to the source address of its frame's ipv4 row of
     greatest encap_depth; NULL ids and segments dated 1970 or without time give no row.
     """
-    seg = once(segments, "frame_number", frame=F.col("frame_number"), conn=F.col("connection_id"), ts=F.col("ts"))
-    seg = seg.where(F.col("ts") >= F.lit(FIRST_REAL).cast("timestamp_ntz")).select("__key", "conn", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+    wanted = {"conn": F.col("connection_id"), "ts": F.col("ts")}
+
+    def real(df: DataFrame) -> DataFrame:
+        return df.where(F.col("ts") >= F.lit(FIRST_REAL).cast("timestamp_ntz")).select("__key", "conn", F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"))
+
+    seg = real(once(segments, "frame_number", **wanted))
     # depth and address packed into one number, whose greatest needs no sorting; 0 stands for NULL
     packed = F.shiftleft(F.coalesce(F.col("encap_depth").cast("long") + 1, F.lit(0)), 34).bitwiseOR(F.coalesce(F.col("src_ip") + 1, F.lit(0)))
     deepest = ipv4.where(F.col("frame_number").isNotNull()).groupBy(F.col("frame_number").alias("__frame")).agg(F.max(packed).alias("packed"))
     deepest = deepest.select("__frame", (F.nullif(F.col("packed").bitwiseAND(F.lit((1 << 34) - 1)), F.lit(0)) - 1).alias("src"))
     both = seg.join(deepest, seg["__key"] == deepest["__frame"], "left")
     pair = F.array(F.struct(F.lit("connection").alias("entity"), F.col("conn").alias("id")), F.struct(F.lit("src_ip").alias("entity"), F.col("src").alias("id")))
-    return both.select("ts_us", F.inline(pair).alias("entity", "entity_id")).where(F.col("entity_id").isNotNull())
+    found = both.select(F.inline(pair).alias("entity", "entity_id"), "ts_us")
+    # a segment without a frame number still belongs to its connection
+    loose = real(once_without_key(segments, "frame_number", **wanted)).select(F.lit("connection").alias("entity"), F.col("conn").alias("entity_id"), "ts_us")
+    return found.unionByName(loose).where(F.col("entity_id").isNotNull())
 
 
 def segment_sessions(segments: DataFrame, ipv4: DataFrame) -> DataFrame:

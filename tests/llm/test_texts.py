@@ -186,7 +186,7 @@ def test_held_out_accuracy():
 
 
 def test_words_and_headers():
-    assert subjects.tokenized(None) == [] and subjects.tokenized("") == [] and subjects.tokenized("HTTPServer fooBar_baz2\\nnext") == [["http", "server", "foo", "bar", "baz", "next"]] or True
+    assert subjects.tokenized(None) == [] and subjects.tokenized("") == [] and subjects.tokenized("HTTPServer fooBar_baz2\\nnext") == [["http", "server", "foo", "bar", "baz"], ["next"]]
     header = "# Licence: X\n# the court and the tribunal hear claims\n\n"
     assert subjects.without_header(header + "code = 1") == "\ncode = 1" and subjects.without_header("# a remark\ncode") == "# a remark\ncode"
     assert "court" not in str(subjects.tokenized("/*\n * Copyright somebody, court\n */\ncode()")) and subjects.plain("courts") == "court" and subjects.skeleton("tanker") == "tnkr"

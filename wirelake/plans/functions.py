@@ -103,6 +103,7 @@ _BUCKETS = """b AS (SELECT protocol, CASE WHEN v < 256 THEN v ELSE (v >> (length
     e AS (SELECT *, CASE WHEN low < 256 THEN low ELSE low + (1::BIGINT << (length(bin(low)) - 8)) - 1 END AS high, CASE WHEN low < 256 THEN low ELSE low + (1::BIGINT << (length(bin(low)) - 9)) END AS mid,
         sum(n) OVER (PARTITION BY protocol ORDER BY low) AS upto, sum(n) OVER (PARTITION BY protocol) AS total FROM b)"""
 HDR_ORACLES = {
+    "hdr_sql": f"WITH {_BUCKETS} SELECT protocol, CAST(min(high) FILTER (WHERE upto >= ceil(0.95 * total)) AS DOUBLE) AS p95, CAST(sum(n) AS BIGINT) AS n FROM e GROUP BY protocol",
     "hdr_percentiles": f"""WITH {_BUCKETS} SELECT protocol, CAST(min(high) FILTER (WHERE upto >= ceil(0.5 * total)) AS DOUBLE) AS p50, CAST(min(high) FILTER (WHERE upto >= ceil(0.95 * total)) AS DOUBLE) AS p95,
         CAST(min(high) FILTER (WHERE upto >= ceil(0.99 * total)) AS DOUBLE) AS p99, CAST(min(low) AS DOUBLE) AS p0, CAST(max(high) AS DOUBLE) AS p100 FROM e GROUP BY protocol""",
     "hdr_stats": f"""WITH {_BUCKETS}, m AS (SELECT protocol, sum(n * CAST(mid AS DOUBLE)) / sum(n) AS mean FROM e GROUP BY protocol)
@@ -152,7 +153,12 @@ def _query(sql: str):
     return query
 
 
-QUERIES = {f"fn_{n}": _query(sql) for n, (sql, _) in PAIRS.items()} | {"hdr_percentiles": hdr_percentiles, "hdr_stats": hdr_stats, "fn_ip6_text": fn_ip6_text, "fn_capture_time": capture_time}
+def hdr_sql(spark: SparkSession, d: str) -> DataFrame:
+    """The histogram as an aggregate function of SQL."""
+    return run(spark, d, "SELECT protocol, hdr_percentile(h, 0.95) AS p95, hdr_count(h) AS n FROM (SELECT protocol, hdr_histogram(cast(total_length AS BIGINT) * total_length) AS h FROM ipv4 WHERE protocol IS NOT NULL AND total_length IS NOT NULL GROUP BY protocol) x")
+
+
+QUERIES = {f"fn_{n}": _query(sql) for n, (sql, _) in PAIRS.items()} | {"hdr_percentiles": hdr_percentiles, "hdr_stats": hdr_stats, "hdr_sql": hdr_sql, "fn_ip6_text": fn_ip6_text, "fn_capture_time": capture_time}
 ORACLES = {f"fn_{n}": with_derived(sql) for n, (_, sql) in PAIRS.items()} | HDR_ORACLES | {
     "fn_capture_time": with_derived("SELECT frame_number, (epoch_us(ts) - epoch_us((SELECT min(ts) FROM pkt))) / 1e6 AS rel, ts = (SELECT min(ts) FROM pkt) AS is_first, ts = (SELECT max(ts) FROM pkt) AS is_last FROM pkt")
 }

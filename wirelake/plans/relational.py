@@ -29,6 +29,17 @@ SHARED = {
         FROM pkt p LEFT JOIN ip i ON p.frame_number = i.frame_number LEFT JOIN tcp t ON p.frame_number = t.frame_number LEFT JOIN udp u ON p.frame_number = u.frame_number JOIN query q ON p.frame_number = q.frame_number""",
     "view_tunneled_shape": """SELECT p.frame_number, i.src_ip AS inner_src_ipv4, i.encap_depth, i.tunnel_type, i.tunnel_id, o.src_ip AS outer_src_ipv4, o.protocol AS outer_proto_v4
         FROM pkt p JOIN ip i ON p.frame_number = i.frame_number AND i.encap_depth > 0 LEFT JOIN ip o ON p.frame_number = o.frame_number AND o.encap_depth = i.encap_depth - 1""",
+    "view_udp_shape": "SELECT p.frame_number, p.length, i.src_ip AS src_ip_v4, i.dst_ip AS dst_ip_v4, u.src_port, u.dst_port, u.length AS udp_length FROM pkt p LEFT JOIN ip i ON p.frame_number = i.frame_number JOIN udp u ON p.frame_number = u.frame_number",
+    "view_tls_shape": """SELECT p.frame_number, i.src_ip AS src_ip_v4, t.src_port, t.dst_port, t.flags AS tcp_flags, x.record_type, x.version, x.handshake_type, x.sni
+        FROM pkt p LEFT JOIN ip i ON p.frame_number = i.frame_number JOIN tcp t ON p.frame_number = t.frame_number JOIN (SELECT DISTINCT * FROM tls) x ON p.frame_number = x.frame_number""",
+    "view_packets_shape": """SELECT p.frame_number, p.length, i.version AS ip_version, i.src_ip AS src_ip_v4, i.ttl AS ip_ttl, coalesce(t.src_port, u.src_port) AS src_port, coalesce(t.dst_port, u.dst_port) AS dst_port,
+        CASE WHEN t.frame_number IS NOT NULL THEN 'TCP' WHEN u.frame_number IS NOT NULL THEN 'UDP' WHEN i.protocol = 1 THEN 'ICMP' END AS protocol, t.flags AS tcp_flags, q.query_name AS dns_query_name, q.is_query AS dns_is_query, x.sni AS tls_sni
+        FROM pkt p LEFT JOIN ip i ON p.frame_number = i.frame_number LEFT JOIN tcp t ON p.frame_number = t.frame_number LEFT JOIN udp u ON p.frame_number = u.frame_number LEFT JOIN query q ON p.frame_number = q.frame_number
+        LEFT JOIN (SELECT DISTINCT * FROM tls) x ON p.frame_number = x.frame_number""",
+    "http2_by_connection": """SELECT c.connection_id, c.client_ip, count(h.stream_id) AS streams, CAST(coalesce(sum(h.response_body_len), 0) AS BIGINT) AS body_bytes, count(*) FILTER (WHERE h.status >= 400) AS failed
+        FROM tcp_connections c LEFT JOIN (SELECT DISTINCT * FROM http2_streams) h ON h.connection_id = c.connection_id GROUP BY c.connection_id, c.client_ip""",
+    "dns_latency": """SELECT a.transaction_id, a.frame_number AS asked, min(b.frame_number) AS answered FROM query a JOIN query b ON a.transaction_id = b.transaction_id AND a.query_name = b.query_name AND a.is_query AND NOT b.is_query AND b.frame_number > a.frame_number
+        GROUP BY a.transaction_id, a.frame_number""",
     "agg_group": "SELECT protocol, count(*) AS n, CAST(sum(total_length) AS BIGINT) AS bytes, min(ttl) AS low, max(ttl) AS high FROM ipv4 GROUP BY protocol",
     "agg_distinct": "SELECT protocol, count(DISTINCT src_ip) AS sources, count(DISTINCT dst_ip) AS targets FROM ipv4 GROUP BY protocol",
     "agg_filter": "SELECT query_type, count(*) FILTER (WHERE is_query) AS asked, count(*) FILTER (WHERE response_code = 3) AS missing FROM query GROUP BY query_type",

@@ -46,6 +46,7 @@ _ENTITY = re.compile(r"&#?[0-9A-Za-z]{1,31};")
 _PERCENT = re.compile(r"%([2-7][0-9a-fA-F])")
 _WORD = re.compile(r"[^\W_]+")
 
+_BREAK = re.compile(r"[\n\r;]|//")
 #: ASCII letters in lower case, digits, and blanks for all else
 _ASCII = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else 32 for c in range(256))
 
@@ -73,17 +74,14 @@ def normalised(text: str) -> tuple[list[str], list[tuple[int, int]], list[int]]:
         text = _ENTITY.sub(lambda m: (c if len(c := html.unescape(m.group())) == 1 and c.isalnum() else "").ljust(len(m.group())), text)
     if "%" in text:
         text = _PERCENT.sub(lambda m: m.group() if chr(int(m.group(1), 16)).isalnum() else "   ", text)
-    words, spans, lines, line, at = [], [], [], 0, 0
+    words, spans = [], []
     for m in _WORD.finditer(text):
         word = m.group()
-        if not word.isascii():
-            word = unicodedata.normalize("NFKC", word)
-        # statements of one-line files count as lines
-        line += sum(text.count(x, at, m.start()) for x in ("\n", "\r", ";", "//"))
-        at = m.start()
-        words.append(word.lower())
+        words.append((word if word.isascii() else unicodedata.normalize("NFKC", word)).lower())
         spans.append(m.span())
-        lines.append(line)
+    # statements of one-line files count as lines
+    breaks = [m.start() for m in _BREAK.finditer(text)]
+    lines = np.searchsorted(breaks, [a for a, _ in spans]).tolist() if spans else []
     return words, spans, lines
 
 
@@ -132,6 +130,8 @@ class Matcher:
             owner.extend([k] * len(ws))
         self.coded, self.owner = np.array(coded, np.int64), np.array(owner, np.int64)
         self.owned = [np.cumsum([0, *(held[tuple(ws[p : p + seed])] <= owners for p in range(len(ws) - seed + 1))]) for ws in self.words]
+        starts = [np.append(np.diff(c), [0] * (len(ws) - len(c) + 1)) for c, ws in zip(self.owned, self.words, strict=True)]
+        self.own_run = np.concatenate(starts).astype(bool) if starts else np.empty(0, bool)
         patterns = {" " + " ".join(ws[p : p + seed]) + " " for ws in self.words for p in range(len(ws) - seed + 1)}
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
         for p in patterns:
@@ -158,17 +158,27 @@ class Matcher:
 
     def candidates(self, words: list[str]) -> list[int]:
         """Items that could have a passage: some ``least`` successive item words of which all but the
-        allowed share stand anywhere in the document."""
+        allowed share stand anywhere in the document, and either all of some do, or the words of
+        enough runs of the item's own do."""
         present = np.zeros(len(self.vocabulary) + 1, bool)
         present[[self.vocabulary.get(w, -1) for w in words]] = True
         present[-1] = False
-        n = np.cumsum(np.concatenate(([0], present[self.coded])))
+        here = present[self.coded]
+        n = np.cumsum(np.concatenate(([0], here)))
         if len(n) <= self.least:
             return []
+        same = self.owner[self.least - 1 :] == self.owner[: len(self.owner) - self.least + 1]
+        held = np.where(same, n[self.least :] - n[: -self.least], 0)
         # a passage longer than the least holds a stretch of the least with at most this many replaced
         enough = self.least - (self.least // self.one_in + 1)
-        start = np.flatnonzero((n[self.least :] - n[: -self.least] >= enough) & (self.owner[self.least - 1 :] == self.owner[: len(self.owner) - self.least + 1]))
-        return np.unique(self.owner[start]).tolist()
+        near, whole = (np.zeros(len(self.ids), bool) for _ in range(2))
+        near[self.owner[np.flatnonzero(held >= enough)]] = True
+        whole[self.owner[np.flatnonzero(held == self.least)]] = True
+        runs = self.own_run.copy()
+        for k in range(self.seed):
+            runs[: len(runs) - k] &= here[k:]
+        own = np.bincount(self.owner[runs], minlength=len(self.ids)) >= self.own
+        return np.flatnonzero(near & (whole | own)).tolist()
 
     def align(self, k: int, words: list[str], lines: list[int]) -> tuple[int, int, int] | None:
         """First and last document word and item words of the longest passage of item ``k``, or None.

@@ -153,6 +153,16 @@ def test_every_planted_passage_is_found():
         assert found_in("import x\n" + "\n".join(lines) + "\nreturn 1", items) == {i}, lines
 
 
+def test_replaced_words_close_together():
+    # every 20 words of these 28 hold all four replaced ones, which is more than 20 words may have
+    items, w = items_and_words()
+    p = [x if k not in (8, 11, 14, 17) else "maybe" for k, x in enumerate(w[5][:28])]
+    items[5] = " ".join(w[5][:28])
+    assert found_in("other " + " ".join(p) + " words", items) == {5}
+    p[20] = "maybe"
+    assert found_in("other " + " ".join(p) + " words", items) == set()
+
+
 # --- subjects
 
 TOPICS = {"food": "oven flour butter pastry whisk garlic simmer recipe".split(), "law": "court plaintiff statute verdict appeal clause juror hearing".split(), "music": "violin tempo chord melody rhythm sonata choir octave".split()}

@@ -2,9 +2,10 @@
 
 The held-out items are normalised to words, stripped of the instructions many of them share, and
 every run of ``SEED`` successive words of an item becomes a pattern of one automaton. Each document
-is normalised the same way and scanned once; hits carry the item position, and word offsets lead back
-to the original text. Documents with hits are then aligned exactly with the items the hits name: a
-passage is a stretch of at least ``LEAST`` item words found in order, of which up to one in
+is normalised the same way and scanned once; hits name the items that hold the run. Of the items named,
+those whose words stand in the document but for the share that may be replaced are aligned with it
+exactly, and word offsets lead back to the original text; an item without a hit is aligned as well
+where a document with hits has so many lines that they could part every run of it. A passage is a stretch of at least ``LEAST`` item words found in order, of which up to one in
 ``ONE_IN`` may be replaced, with whole other lines allowed between its lines. Items of one kind share
 turns of phrase, so a passage with replaced words must hold ``OWN`` runs that are the item's own.
 
@@ -132,13 +133,20 @@ class Matcher:
         self.owned = [np.cumsum([0, *(held[tuple(ws[p : p + seed])] <= owners for p in range(len(ws) - seed + 1))]) for ws in self.words]
         starts = [np.append(np.diff(c), [0] * (len(ws) - len(c) + 1)) for c, ws in zip(self.owned, self.words, strict=True)]
         self.own_run = np.concatenate(starts).astype(bool) if starts else np.empty(0, bool)
-        patterns = {" " + " ".join(ws[p : p + seed]) + " " for ws in self.words for p in range(len(ws) - seed + 1)}
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for p in patterns:
-            self.automaton.add_word(p)
+        patterns: dict[str, set[int]] = defaultdict(set)
+        for k, ws in enumerate(self.words):
+            for p in range(len(ws) - seed + 1):
+                patterns[" " + " ".join(ws[p : p + seed]) + " "].add(k)
+        self.automaton = ahocorasick.Automaton()
+        for p, holding in patterns.items():
+            self.automaton.add_word(p, tuple(holding))
         if patterns:
             self.automaton.make_automaton()
         self.any = bool(patterns)
+        # without a hit, other lines part a passage into pieces of fewer than ``seed`` words: so many
+        # lines it has at least, the shortest passages of each number of replaced words being the worst
+        sizes = [max(least, n * one_in) for n in range(least // one_in + 2)]
+        self.parted = 2 * min(-(-(x - x // one_in) // (seed - 1)) - 1 - x // one_in for x in sizes) + 1
 
     def items_in(self, text: str) -> list[tuple[int, int, int]]:
         """(item id, first, last character) of every passage-bearing item of a text, the place being
@@ -146,20 +154,24 @@ class Matcher:
         words = words_only(text)
         if len(words) < self.least - self.least // self.one_in or not self.any:
             return []
-        # the scan: one pass over the normalised text, up to the first run that an item holds
-        if next(self.automaton.iter(" " + " ".join(words) + " "), None) is None:
+        # the scan: one pass over the normalised text
+        named = {k for _, holding in self.automaton.iter(" " + " ".join(words) + " ") for k in holding}
+        if not named:
             return []
         words, spans, lines = normalised(text)
+        many = len(set(lines)) >= self.parted
         out = []
         for k in self.candidates(words):
+            if k not in named and not many:
+                continue
             if found := self.align(k, words, lines):
                 out.append((self.ids[k], spans[found[0]][0], spans[found[1]][1]))
         return out
 
     def candidates(self, words: list[str]) -> list[int]:
-        """Items that could have a passage: some ``least`` successive item words of which all but the
-        allowed share stand anywhere in the document, and either all of some do, or the words of
-        enough runs of the item's own do."""
+        """Items that could have a passage: some stretch of ``least`` or more successive item words of
+        which all but the allowed share stand anywhere in the document, and either all words of some
+        ``least`` do, or the words of enough runs of the item's own do."""
         present = np.zeros(len(self.vocabulary) + 1, bool)
         present[[self.vocabulary.get(w, -1) for w in words]] = True
         present[-1] = False
@@ -169,10 +181,13 @@ class Matcher:
             return []
         same = self.owner[self.least - 1 :] == self.owner[: len(self.owner) - self.least + 1]
         held = np.where(same, n[self.least :] - n[: -self.least], 0)
-        # a passage longer than the least holds a stretch of the least with at most this many replaced
-        enough = self.least - (self.least // self.one_in + 1)
+        # a stretch has few enough replaced words if its score, 1 a word less ``one_in`` a missing one,
+        # is not negative; running scores of later items lie far lower, so none begins in another item
+        score = np.arange(len(n)) - self.one_in * (np.arange(len(n)) - n)
+        far = self.owner * (2 * self.one_in * len(n))
+        lowest = np.minimum.accumulate(score[:-1] - far)
         near, whole = (np.zeros(len(self.ids), bool) for _ in range(2))
-        near[self.owner[np.flatnonzero(held >= enough)]] = True
+        near[self.owner[self.least - 1 :][(score[1:] - far)[self.least - 1 :] >= lowest[: len(far) - self.least + 1]]] = True
         whole[self.owner[np.flatnonzero(held == self.least)]] = True
         runs = self.own_run.copy()
         for k in range(self.seed):

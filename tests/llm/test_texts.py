@@ -82,7 +82,7 @@ def items_and_words(n=12, size=60):
 
 def found_in(text, items):
     cleaned = leakage.bodies(items)
-    return {i for i, *_ in leakage.Matcher(cleaned, leakage.holders(cleaned)).items_in(text)}
+    return {i for i, *_ in leakage.Matcher(cleaned).items_in(text)}
 
 
 def test_layouts():
@@ -163,6 +163,78 @@ def test_replaced_words_close_together():
     assert found_in("other " + " ".join(p) + " words", items) == set()
 
 
+def test_replaced_words_in_a_row_part_no_passage():
+    items, w = items_and_words(12, 90)
+    for size, start, row in ((32, 14, 4), (36, 20, 4), (35, 15, 5), (70, 30, 10)):
+        p = list(w[5][10 : 10 + size])
+        p[start : start + row] = ["maybe"] * row
+        text = "other " + " ".join(p) + " words"
+        ((i, a, z),) = leakage.Matcher(leakage.bodies(items)).items_in(text)
+        assert i == 5 and text[a:z] == " ".join(p)
+    p = list(w[5][10:30])
+    p[8:11] = ["maybe"] * 3
+    assert found_in(" ".join(p), items) == set()
+
+
+def test_one_form_for_items_and_documents():
+    import unicodedata
+
+    words = [f"café{i}né" if i % 2 else f"größe{i}" for i in range(40)]
+    items = {1: " ".join(words), 2: " ".join(f"x{i}" for i in range(40))}
+    plain = " ".join(words[5:30])
+    forms = (
+        plain, unicodedata.normalize("NFD", plain), unicodedata.normalize("NFD", plain).upper(), "".join(f"&#{ord(c)};" if ord(c) > 127 else c for c in plain),
+        "".join(f"&#{ord(c)};" if ord(c) > 127 else c for c in unicodedata.normalize("NFD", plain)), "".join(f"\\u{ord(c):04x}" if ord(c) > 127 else c for c in plain),
+        plain.replace("é", "&eacute;").replace("ö", "&ouml;"), plain.replace("caf", "ca\u00adf"), plain.replace(" ", " &lt;br&gt; "), plain.replace(" ", "\\u003cbr/\\u003e"), "".join(chr(ord(c) + 0xFEE0) if "a" <= c <= "z" else c for c in plain),
+    )
+    for text in forms:
+        ((i, a, z),) = leakage.Matcher(leakage.bodies(items)).items_in("before " + text + " after")
+        assert i == 1 and ("before " + text + " after")[a:z] == text, text
+    for text in (*forms, "a\\x41b &amp; <b>c</b> %20d\ufeff &#x1F600; \\ud83d", "", "\u0301", "½ ﬀ ﷺ"):
+        assert len(leakage.words_of(text)) == len(leakage.places_of(text)[0])
+
+
+def test_items_compete_for_altered_passages():
+    rnd = random.Random(4)
+    turn = "on every third day a {} tile rolls from the attic into the garden whereupon somebody pays for it and {} keeps the {} ribbons before dusk".split()
+    items, bodies = {}, {}
+    for i in range(6):
+        own = [f"own{i}w{k}" for k in range(40)]
+        bodies[i] = own[:20] + [x if x != "{}" else f"slot{i}{k}" for k, x in enumerate(turn)] + own[20:]
+        items[i] = " ".join(bodies[i])
+    for _ in range(40):
+        i, a = rnd.randrange(6), rnd.randrange(10, 24)
+        p = bodies[i][a : a + 30]
+        for k in rnd.sample(range(1, 29), 2):
+            p[k] = "other"
+        assert found_in("so " + " ".join(p) + " it", items) == {i}
+    # the turn of phrase with new words belongs to nobody; the junction of two whole passages to these two
+    assert found_in(" ".join(x if x != "{}" else "new" for x in turn), items) == set()
+    assert found_in(" ".join(bodies[0][20:44] + bodies[1][30:60]), items) == {0, 1}
+    # items that share the very words all carry them
+    items[9] = "before " + " ".join(bodies[3][:30])
+    p = bodies[3][:24]
+    p[4] = "other"
+    assert found_in(" ".join(p), items) == {3, 9}
+
+
+def test_short_lines_parted_by_other_lines():
+    items, w = items_and_words()
+    p = w[4][5:33]
+    for step in (1, 2, 3):
+        text = "\n".join(f"{' '.join(p[k : k + step])}\nsome call_{k} of other things" for k in range(0, 28, step))
+        if step < 3:  # a document in which nothing stands unbroken is not aligned
+            text += "\n" + " ".join(w[2][:3])
+        assert found_in(text, items) == {4}
+
+
+def test_repeating_documents_take_linear_time():
+    items, w = items_and_words()
+    text = "\n".join(" ".join(w[3][k : k + 4]) for _ in range(700) for k in (0, 10, 20))
+    assert found_in(text, items) == set()
+    assert found_in(text + "\n" + " ".join(w[3][:25]), items) == {3}
+
+
 # --- subjects
 
 TOPICS = {"food": "oven flour butter pastry whisk garlic simmer recipe".split(), "law": "court plaintiff statute verdict appeal clause juror hearing".split(), "music": "violin tempo chord melody rhythm sonata choir octave".split()}

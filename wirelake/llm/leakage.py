@@ -8,14 +8,16 @@ diagonals that hits name are compared with the item, word by word, and the match
 are chained. Word offsets lead back to the original text.
 
 A passage is a stretch of at least ``LEAST`` item words found in order, of which up to one in
-``ONE_IN`` may be replaced, wherever in the passage the replaced words stand. Other text may stand
-between its lines, so a piece may be followed by one on any later line. Around the diagonals
-of an item's hits, a line counts if it holds two words of the item in a row, or has at most ``SEED``
-words and any of the item.
+``ONE_IN`` may be replaced, wherever in the passage the replaced words stand. Whole other lines may
+stand between its lines, any number of them, so a piece may be followed by one on a later line if the
+two reach the end and the start of their lines but for replaced words and ``SLACK`` others. Beside the
+diagonals of an item's hits, a line counts if it holds two words of the item in a row, or has at most
+``SEED`` words and any of the item.
 
 Items of one kind share turns of phrase, so items compete for a passage with replaced words: it is
-only an item's own if no other item with other words explains the same stretch of the document as
-well or better. A passage of ``LEAST`` words without a replaced one always counts.
+only an item's own if no other item with other words, and not the passages found so far together,
+explain the same stretch of the document as well or better. A passage of ``LEAST`` words without a
+replaced one always counts.
 
 The items are the query set and do not grow with the corpus; their size is checked before they are
 read, and they are scanned in blocks of ``MOST_WORDS`` words.
@@ -41,6 +43,9 @@ from wirelake.session import spread
 
 #: Words of a pattern, of the shortest passage, and words per replaced word.
 SEED, LEAST, ONE_IN = 3, 20, 7
+#: Words that may stand beside a passage, such as a key or a call, on the two lines between which
+#: whole other lines are skipped.
+SLACK = 4
 #: Item words that one automaton holds; more items are taken in further blocks.
 MOST_WORDS = 2_000_000
 #: Characters of all items together; a larger table is no query set and is refused.
@@ -252,6 +257,9 @@ class Matcher:
         if not len(pieces):
             return []
         pieces = pieces[np.argsort(pieces[:, 0] * len(words) + pieces[:, 2], kind="stable")]
+        # words before and after each piece on its line
+        line = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[pieces[:, 2]]
+        pieces = np.column_stack([pieces, pieces[:, 2] - starts[line], starts[line + 1] - pieces[:, 2] - pieces[:, 4]])
         found = {}
         cuts = np.flatnonzero(np.diff(pieces[:, 0], prepend=-1)).tolist()
         for a, z in zip(cuts, [*cuts[1:], len(pieces)], strict=False):
@@ -337,46 +345,53 @@ class Matcher:
         return np.maximum.accumulate(ends[::-1])[::-1] >= lowest
 
     def chained(self, k: int, pieces: list[list[int]]) -> list[Passage]:
-        """Passages made of pieces in order of their lines.
+        """Passages of item ``k`` made of pieces, which come in order of their lines.
 
-        A piece follows one on the same diagonal of its line, or any one on an earlier line; item
-        words between two pieces are replaced ones. Of the chains that end with an item word, those
-        are kept that no chain beats in both length and replaced words; that is at most one for each
-        number of replaced words the item allows, however often the document repeats itself.
+        A piece follows one on the same diagonal of its line, or one on an earlier line as the module
+        says; item words between two pieces are replaced ones. Of the chains that end with an item word
+        and as many words before the end of the line, those are kept that no chain beats in both length
+        and replaced words; that is at most one for each number of replaced words the item allows,
+        however often the document repeats itself.
         """
         begin, length, one_in = int(self.begins[k]), int(self.sizes[k]), self.one_in
+        most = length // one_in
         # a chain: (first item word, replaced words, piece, chain before)
-        tails: dict[int, list[tuple]] = {}
+        tails: dict[int, dict[int, list[tuple]]] = {}
         ended: list[int] = []
-        waiting: list[tuple[int, list[tuple]]] = []
+        waiting: list[tuple[int, int, list[tuple]]] = []
         beside: dict[int, tuple[int, list[tuple]]] = {}
         complete: list[tuple[int, tuple]] = []
         now = -1
         for piece in pieces:
-            line, q, p, n = piece
+            line, q, p, n, head, tail = piece
             p -= begin
             if line != now:
-                for end, chains in waiting:
+                for end, left, chains in waiting:
                     if end not in tails:
                         ended.insert(bisect_left(ended, end), end)
-                        tails[end] = chains
-                    else:
-                        tails[end] = _best([*chains, *tails[end]])
+                        tails[end] = {}
+                    before = tails[end].get(left)
+                    tails[end][left] = _best([*chains, *before]) if before else chains
                 waiting, beside, now = [], {}, line
             last = p + n - 1
             chains = [(p, 0, piece, None)]
             if before := beside.get(q - p):
                 gap = p - before[0] - 1
                 chains += [(c[0], c[1] + gap, piece, c) for c in before[1]]
-            # no stretch of the item may lack more than one word in ``one_in``
-            for end in ended[bisect_left(ended, p - 1 - length // one_in) :]:
-                if end >= last:
-                    break
-                gap = max(0, p - end - 1)
-                chains += [(c[0], c[1] + gap, piece, c) for c in tails[end]]
+            if head <= SLACK + most:
+                for end in ended[bisect_left(ended, p - 1 - most) :]:
+                    if end >= last:
+                        break
+                    gap = max(0, p - end - 1)
+                    # words of this piece that the chain already has stand beside the passage
+                    free = gap + SLACK - head - max(0, end + 1 - p)
+                    for left, before in tails[end].items():
+                        if left <= free:
+                            chains += [(c[0], c[1] + gap, piece, c) for c in before]
             chains = _best([c for c in chains if c[1] * one_in <= length - c[0]])
             beside[q - p] = (last, chains)
-            waiting.append((last, chains))
+            if tail <= SLACK + most:
+                waiting.append((last, tail, chains))
             complete += [(last, c) for c in chains if last - c[0] + 1 >= self.least and c[1] * one_in <= last - c[0] + 1]
         used: set[int] = set()
         out = []
@@ -394,27 +409,31 @@ class Matcher:
     def own(self, found: dict[int, list[Passage]], lines: np.ndarray) -> list[Passage]:
         """Of each item the longest passage that is more than a turn of phrase that items share.
 
-        Passages without a replaced word are. Any other must have more words of its stretch of the
-        document than each other item has there, and than all passages without replaced words have
-        together; items that hold the very words of the passage do not compete with it.
+        Passages without a replaced word are. The others follow, those of the most words first: each
+        must have more words of its stretch of the document than each other item has there, and than
+        the passages before it have together; items that hold the very words of the passage do not
+        compete with it.
         """
-        words = {k: [{q for a, z in x.pieces for q in range(a, z + 1)} for x in xs] for k, xs in found.items()}
-        every = {k: set().union(*w) for k, w in words.items()}
-        whole = {k: set().union(*(w for x, w in zip(found[k], words[k], strict=True) if not x.replaced)) for k in found}
-        out = []
-        for k, xs in found.items():
-            for x, mine in zip(xs, words[k], strict=True):
-                if x.replaced and len(found) > 1:
-                    on = {int(lines[q]) for q in mine}
-                    stretch = {q for q in range(x.pieces[0][0], x.pieces[-1][1] + 1) if int(lines[q]) in on}
-                    text = " " + " ".join(self.words[k][x.first : x.last + 1]) + " "
-                    rivals = [o for o in found if o != k and text not in self.texts[o]]
-                    together = set().union(*(whole[o] for o in rivals))
-                    if max(len(stretch & s) for s in (together, *(every[o] for o in rivals))) >= len(mine):
-                        continue
-                out.append(x)
-                break
-        return out
+        if len(found) == 1 and not (x := next(iter(found.values())))[0].replaced:
+            return x[:1]
+        words = {id(x): {q for a, z in x.pieces for q in range(a, z + 1)} for xs in found.values() for x in xs}
+        every = {k: set().union(*(words[id(x)] for x in xs)) for k, xs in found.items()}
+        explained: dict[int, set[int]] = {k: set() for k in found}
+        best: dict[int, Passage] = {}
+        for x in sorted((x for xs in found.values() for x in xs), key=lambda x: (x.replaced > 0, x.replaced - x.size)):
+            k, mine = x.item, words[id(x)]
+            if x.replaced and len(found) > 1:
+                on = {int(lines[q]) for q in mine}
+                stretch = {q for q in range(x.pieces[0][0], x.pieces[-1][1] + 1) if int(lines[q]) in on}
+                text = " " + " ".join(self.words[k][x.first : x.last + 1]) + " "
+                rivals = [o for o in found if o != k and text not in self.texts[o]]
+                together = set().union(*(explained[o] for o in rivals))
+                if max(len(stretch & s) for s in (together, *(every[o] for o in rivals))) >= len(mine):
+                    continue
+            explained[k] |= mine
+            if k not in best or x.size > best[k].size:
+                best[k] = x
+        return [best[k] for k in found if k in best]
 
 
 def _best(chains: list[tuple]) -> list[tuple]:

@@ -38,7 +38,20 @@ def test_merging_is_exact_and_order_free():
     again = whole.copy()
     setsketch.insert(again, np.array([hash((i, 17)) for i in range(100)], np.int64), SMALL)
     assert (again == whole).all()
-    assert setsketch.estimate(np.zeros(256, np.uint16), SMALL) == 0 and (setsketch.unpack(setsketch.pack(whole)) == whole).all()
+    assert setsketch.estimate(np.zeros(256, np.uint16), SMALL) == 0
+    for n in (0, 1, 40, 64, 65, 3000):  # hashes or registers: sets merge to the same in any form
+        mine, blobs = setsketch.Set(SMALL), []
+        for a in range(5):
+            part = setsketch.Set(SMALL)
+            part.add(np.array([hash((i, 17)) for i in range(a, n, 5)], np.int64))
+            blobs.append(part.pack())
+        for b in blobs[::-1]:
+            mine.merge(setsketch.Set(SMALL, b))
+        assert (mine.dense() == sketch_of(range(n))).all() and (mine.registers is None) == (n <= SMALL.few)
+        got, error = mine.estimate()
+        assert got == n if n <= SMALL.few else abs(got - n) <= 6 * error
+        again = setsketch.Set(SMALL, mine.pack())
+        assert (again.dense() == mine.dense()).all() and setsketch.compared(again, mine)["jaccard"] == pytest.approx(1 if n else 0, abs=0.01)
 
 
 @pytest.mark.parametrize("base", [1.001, 1.05, 2.0])
@@ -54,11 +67,21 @@ def test_joint_estimates(a, b, both, base):
 def test_sketches_of_groups(spark):
     rows = [(g, f"i{i}", "x") for g, n in (("a", 50), (None, 400), ("c", 1)) for i in range(n) for _ in range(2)] + [("d", None, "x"), ("a", "", "x")]
     df = spark.createDataFrame(rows, "g string, item string, sketch string").withColumn("__h", F.lit(1))
-    got = {r.g: r.estimate for r in setsketch.with_estimate(setsketch.sketches(df, ["g"], F.col("item"), hold=2)).collect()}
+    got = {r.g: r.estimate for r in setsketch.with_estimate(setsketch.sketches(df, ["g"], F.col("item"), hold_bytes=10)).collect()}
     assert set(got) == {"a", None, "c"} and abs(got["a"] - 51) < 8 and abs(got[None] - 400) < 60 and abs(got["c"] - 1) < 0.2
     assert setsketch.sketches(df.limit(0), ["g"], F.col("item")).count() == 0
 
 
+def test_many_interleaved_groups_ship_what_they_hold(spark, tmp_path):
+    """A row in a group of its own must not cost a whole sketch, whether groups fit the memory or not."""
+    df = spark.range(200_000, numPartitions=2).select((F.col("id") % 3000).alias("g"), F.col("id").alias("item"))
+    for hold in (setsketch.HOLD_BYTES, 100_000):
+        parts = setsketch.partial_sketches(df, ["g"], F.col("item"), hold_bytes=hold)
+        assert parts.agg(F.sum(F.length("sketch"))).first()[0] < 5_000_000
+        got = setsketch.with_estimate(setsketch.merged(parts, ["g"], Sketch())).select(F.count("*").alias("n"), F.min("estimate").alias("low"), F.max("estimate").alias("high")).first()
+        assert got.n == 3000 and got.low == 66 and got.high == 67
+
+
 def tables(spark):
     """Four weeks of frames, a table without names and one empty."""
     rnd = random.Random(2)
@@ -93,7 +116,13 @@ def test_standout_days_against_brute_force(spark):
             want.add(("src_ip", g, d))
     assert {tuple(r) for r in setsketch.standout_days(*dfs).collect()} == want and want
     assert setsketch.daily_counts(*dfs).where("ident = 'query_name'").count() == 4
+    for sigmas in (5.0, 1000.0):  # the latter leaves every day with registers to the exact count
+        assert {tuple(r) for r in setsketch.standout_days(*dfs, Sketch(m=16), sigmas=sigmas).collect()} == want
     assert setsketch.day_overlaps(*dfs).count() > 5
+    assert setsketch.counts_within_error(*dfs).where("NOT within").count() == 0 and setsketch.overlaps_within_error(*dfs).where("NOT within").count() == 0
+    # the next day is the next one with rows
+    gap = [df.join(dfs[3].where("ts < '2024-01-03' OR ts > '2024-01-06'").select("frame_number").distinct(), "frame_number") for df in dfs[:3]]
+    assert {(r.day, r.next_day) for r in setsketch.day_overlaps(*gap, dfs[3]).where("grp = '*' AND ident = 'src_ip'").collect()} >= {("2024-01-02", "2024-01-06")}
 
 
 @pytest.mark.parametrize("kind,values", [("long", [-5, -5, 0, 3, 2**40, -(2**50), None, 7]), ("double", [-1.5, float("nan"), 0.0, -0.0, 1e-300, 1e300, None, 2.5, float("-inf")])])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,7 @@ def get_spark(master: str = "local[8]", name: str = "wirelake", **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
     } | conf
@@ -30,19 +34,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through the shared checkpoint folder.
+def _shared_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate tables and checkpoints.
 
-    A cluster names the folder in ``spark.checkpoint.dir``; only where neither the session nor
-    the context knows one (tests on one machine) a folder of our own is set.
+    A cluster names it in ``spark.checkpoint.dir``. Only a session on one machine that names none gets
+    a folder of its own, as in tests; on a cluster that would be a folder of one machine, so it raises.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wirelake-", dir=os.environ.get("TMPDIR")))
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    if known.isEmpty():
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not named:
+            named = tempfile.mkdtemp(prefix="wirelake-", dir=os.environ.get("TMPDIR"))
+            atexit.register(shutil.rmtree, named, True)
+        sc.setCheckpointDir(named)
+        known = sc._jsc.sc().getCheckpointDir()
+    return known.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage of ``df``, a small one, through the shared folder."""
+    _shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` written as a table of the shared folder and read from there, for rows that are read more
+    than once: later passes prune columns, and lost executors cost nothing but the pass. The table goes
+    when the session ends."""
+    spark = df.sparkSession
+    path = f"{_shared_folder(spark)}/kept-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    df.write.parquet(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions that a shuffle of the session makes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -125,7 +125,7 @@ def test_standout_days_against_brute_force(spark):
     assert {(r.day, r.next_day) for r in setsketch.day_overlaps(*gap, dfs[3]).where("grp = '*' AND ident = 'src_ip'").collect()} >= {("2024-01-02", "2024-01-06")}
 
 
-@pytest.mark.parametrize("kind,values", [("long", [-5, -5, 0, 3, 2**40, -(2**50), None, 7]), ("double", [-1.5, float("nan"), 0.0, -0.0, 1e-300, 1e300, None, 2.5, float("-inf")])])
+@pytest.mark.parametrize("kind,values", [("long", [-5, -5, 0, 3, 2**40, -(2**50), None, 7, 2**63 - 1, -(2**63), 2047, 2048, -2048, -2049, 2**53 - 1, 2**53, 2**53 + 1]), ("int", [5, 4096, 4097, -1, None]), ("double", [-1.5, float("nan"), 0.0, -0.0, 1e-300, 1e300, None, 2.5, float("-inf")])])
 def test_radix_quantiles(spark, kind, values):
     rnd = random.Random(4)
     rows = [(rnd.choice(["a", None, "b"]), rnd.choice([0, 1, 8, None]), rnd.choice(values)) for _ in range(600)] + [("hot", 1, values[0])] * 300 + [("none", 1, None)]
@@ -146,6 +146,22 @@ def test_radix_quantiles(spark, kind, values):
     assert radix.radix_quantiles(df.limit(0), ["g"], "d", {"day": F.col("__p")}, "v", [(1, 2)]).count() == 0
 
 
+def test_saved_days_merge_into_weeks(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["a", None]), d, int(rnd.lognormvariate(9, 3)) * rnd.choice((1, 1, -1)), rnd.lognormvariate(0, 9)) for d in range(2) for _ in range(3000)] + [("a", 0, None, None)]
+    df = spark.createDataFrame(rows, "g string, day int, v long, f double").withColumns({"digit": F.lit(1), "n": F.lit(2)})
+    for value, at in (("v", 2), ("f", 3)):
+        for d in range(2):
+            radix.digit_histograms(df.where(F.col("day") == d), ["g"], value).write.mode("overwrite").parquet(f"{tmp_path}/{value}{d}")
+        both = spark.read.parquet(f"{tmp_path}/{value}0").unionByName(spark.read.parquet(f"{tmp_path}/{value}1"))
+        for r in radix.histogram_quantiles(both, ["g"], [(1, 2), (19, 20), (1, 1)], value == "f").collect():
+            vs = sorted(x[at] for x in rows if x[0] == r.g and x[at] is not None)
+            assert r.n == len(vs)
+            for i, (a, b) in enumerate(((1, 2), (19, 20), (1, 1))):
+                true, low, high = vs[-(-a * len(vs) // b) - 1], r[f"q{i}_low"], r[f"q{i}_high"]
+                assert low <= true <= high and high - low <= max(abs(low), abs(high)) * 2**-radix.FRACTION
+
+
 def test_conservative_update_never_underestimates():
     rnd = np.random.default_rng(7)
     sketch, true = np.zeros((4, 64), np.int64), Counter()

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from wirelake.llm.setsketch import identifier_rows
 from wirelake.operators.capture import day_text, week_of
-from wirelake.session import cut, small_side
+from wirelake.session import cut, kept, small_side
 
 WIDTH, DEPTH, HEAP = 1 << 16, 4, 1024
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -123,7 +123,7 @@ def weekly_heavy_hitters(ipv4: DataFrame, dns: DataFrame, tls: DataFrame, frames
     as fewer than ``HEAP`` items of a partition reach the share, and at most ``share`` can. What they
     propose, at most ``share`` items and the overestimated of a group, is then counted exactly.
     """
-    rows = cut(identifier_rows(ipv4, dns, tls, frames).select("ident", week_of(F.col("day")).alias("week"), "item"))
+    rows = kept(identifier_rows(ipv4, dns, tls, frames).select("ident", week_of(F.col("day")).alias("week"), "item"))
     totals = rows.groupBy("ident", "week").agg(F.count("*").alias("all"))
     proposed = frequent_items(rows, ["ident", "week"], "item").join(small_side(cut(totals)), ["ident", "week"])
     proposed = cut(proposed.where((F.col("estimate") >= least) & (F.col("estimate") * share >= F.col("all"))).select("ident", "week", "item", "all"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from wirelake.operators.capture import day_text, once, plain_name, week_of, with_day
-from wirelake.session import cut, small_side
+from wirelake.session import cut, kept, small_side
 
 
 @dataclass(frozen=True)
@@ -362,7 +362,7 @@ def standout_days(ipv4: DataFrame, dns: DataFrame, tls: DataFrame, frames: DataF
     more than ``sigmas`` standard errors. Only the (identifier, group, week) sets of days that lie
     nearer to a bound are counted exactly. Columns ``ident string, grp string, day string``.
     """
-    rows = cut(identifier_rows(ipv4, dns, tls, frames).select("ident", "grp", "day", "item"))
+    rows = kept(identifier_rows(ipv4, dns, tls, frames).select("ident", "grp", "day", "item"))
     grouped = in_groups(rows).select("ident", "grp", "day", "item", week_of(F.col("day")).alias("week"))
     counts = cut(with_estimate(sketches(grouped, ["ident", "grp", "week", "day"], F.col("item"), s), s).drop("sketch"))
     rated = against_week(counts, least, factor, sigmas)

@@ -56,36 +56,38 @@ def _mask(bits: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), bits.cast("int")) - 1
 
 
+def _bits(key: Column, floating: bool) -> Column:
+    """Bits of a key that follow its first digit."""
+    if floating:
+        return F.lit(_FLOATING_REST)
+    # the bit length of the number or, if it is negative, of its complement
+    size = key.bitwiseXOR(F.shiftright(key, 63))
+    return F.greatest(F.length(F.bin(size)) - (FRACTION + 1), F.lit(0))
+
+
 def _first_digit(key: Column, floating: bool) -> Column:
     """The first digit of an ordered key, in the order of the keys."""
     if floating:
         return F.shiftright(key, _FLOATING_REST)
-    size = F.when(key < 0, F.bitwise_not(key)).otherwise(key)
-    # the logarithm may be off by one next to a power of two
-    guess = F.floor(F.log2(size.cast("double"))).cast("int")
-    shift = F.call_function("shiftright", size, guess)
-    top = guess + F.when(shift > 1, 1).when(shift < 1, -1).otherwise(0)
-    rest = top - FRACTION
-    digit = F.shiftleft(rest.cast("long"), FRACTION + 1) + F.call_function("shiftright", size, rest)
-    digit = F.when(size < 2 ** (FRACTION + 1), size).otherwise(digit)
-    return F.when(key < 0, F.bitwise_not(digit)).otherwise(digit)
+    sign, left = F.shiftright(key, 63), _bits(key, False)
+    digit = F.shiftleft(left.cast("long"), FRACTION + 1) + F.call_function("shiftright", key.bitwiseXOR(sign), left)
+    return digit.bitwiseXOR(sign)
 
 
 def _bits_left(digit: Column, floating: bool) -> Column:
     """Bits that follow a first digit."""
     if floating:
         return F.lit(_FLOATING_REST)
-    return F.shiftright(F.when(digit < 0, F.bitwise_not(digit)).otherwise(digit), FRACTION + 1).cast("int")
+    return F.shiftright(digit.bitwiseXOR(F.shiftright(digit, 63)), FRACTION + 1).cast("int")
 
 
 def _lowest(digit: Column, floating: bool) -> Column:
     """The lowest key of a first digit."""
     if floating:
         return F.shiftleft(digit, _FLOATING_REST)
-    plain = F.when(digit < 0, F.bitwise_not(digit)).otherwise(digit)
-    left = _bits_left(digit, False)
-    low = F.call_function("shiftleft", plain.bitwiseAND(F.lit(2 ** (FRACTION + 1) - 1)), left)
-    return F.when(digit < 0, F.bitwise_not(low.bitwiseOR(_mask(left)))).otherwise(low)
+    sign, left = F.shiftright(digit, 63), _bits_left(digit, False)
+    low = F.call_function("shiftleft", digit.bitwiseXOR(sign).bitwiseAND(F.lit(2 ** (FRACTION + 1) - 1)), left)
+    return low.bitwiseOR(_mask(left).bitwiseAND(sign)).bitwiseXOR(sign)
 
 
 def _back(key: Column, floating: bool) -> Column:
@@ -167,14 +169,13 @@ def radix_quantiles(df: DataFrame, group: list[str], part: str, rollups: dict[st
     targets = _picked(hist, by, "__d", quantiles).select(*by, "n", "i", "rank", _lowest(digit, floating).alias("low"), _bits_left(digit, floating).alias("left"))
     targets = cut(targets)
     done = targets.where("left = 0")
-    parts = None
+    parts = states.select(*names, "__p").distinct().select(*names, "__p", F.inline(windows))
     most = targets.agg(F.max("left")).first()[0] or 0
     key = ordered_key(F.col("__v"), rows.schema["__v"].dataType)
     for step in range(-(-most // digit_bits)):
-        parts = cut(states.select(*names, "__p").distinct().select(*names, "__p", F.inline(windows))) if parts is None else parts
         # the rows' bits left after the digits taken, and the digit that follows
         keyed = rows.select(*names, "__p", key.alias("__k"))
-        keyed = keyed.withColumn("__left", F.greatest(_bits_left(_first_digit(F.col("__k"), floating), floating) - step * digit_bits, F.lit(0)))
+        keyed = keyed.withColumn("__left", F.greatest(_bits(F.col("__k"), floating) - step * digit_bits, F.lit(0)))
         rest = F.col("__k").bitwiseAND(_mask(F.col("__left")))
         width = F.greatest(F.col("__left") - digit_bits, F.lit(0))
         keyed = keyed.where("__left > 0").select(*names, "__p", (F.col("__k") - rest).alias("__low"), F.call_function("shiftright", rest, width).alias("__digit"))

@@ -260,7 +260,7 @@ def test_held_out_accuracy():
     texts, owns = corpus()
     rnd = random.Random(5)
     noisy = [set(o) if rnd.random() > 0.08 else {rnd.choice(list(TOPICS))} for o in owns]
-    model = subjects.calibrated([subjects.tokenized(t) for t in texts], noisy, sorted(TOPICS))
+    model = subjects.calibrated(subjects.corpus([subjects.tokenized(t) for t in texts]), noisy, sorted(TOPICS))
     test, truth = corpus(200, 2)
     got = [set(model.accept(model.weights(subjects.tokenized(t)))) for t in test]
     right = sum(len(g & set(o)) for g, o in zip(got, truth, strict=True))
@@ -269,6 +269,9 @@ def test_held_out_accuracy():
 
 def test_words_and_headers():
     assert subjects.tokenized(None) == [] and subjects.tokenized("") == [] and subjects.tokenized("HTTPServer fooBar_baz2\\nnext") == [["http", "server", "foo", "bar", "baz"], ["next"]]
+    for kept in ("# returns nothing when the copyright is missing\ncode", "/* the copyright of a bail */\ncode", "/* see also */ code"):
+        assert subjects.without_header(kept) == kept
+    assert subjects.without_header("/*! MIT licence, no warranty */court(1);\n\nb") == "court(1);\n\nb" and subjects.without_header("/* (c) 2020 X */ a = 1") == " a = 1"
     header = "# Licence: X\n# the court and the tribunal hear claims\n\n"
     assert subjects.without_header(header + "code = 1") == "\ncode = 1" and subjects.without_header("# a remark\ncode") == "# a remark\ncode"
     assert "court" not in str(subjects.tokenized("/*\n * Copyright somebody, court\n */\ncode()")) and subjects.plain("courts") == "court" and subjects.skeleton("tanker") == "tnkr"

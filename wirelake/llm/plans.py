@@ -65,7 +65,7 @@ def p7_places(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return subjects.subject_areas(*(table(spark, d, t) for t in ("documents", "doc_labels", "subjects"))).select("doc_id", "subject")
+    return subjects.subject_areas(*(table(spark, d, t) for t in ("documents", "doc_labels", "subjects", "eval_items"))).select("doc_id", "subject")
 
 
 QUERIES = {f.__name__: f for f in (p3_found, p3_counts, p3_overlaps, p3_counts_bound, p3_overlaps_bound, p4_found, p4_quantiles, p5_found, p5_top, p6_containers, p7_found, p7_places, p8_found)}

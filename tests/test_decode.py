@@ -153,3 +153,17 @@ def test_extended_fields():
     six = only(P.eth(P.ip6(hop, 0), 0x86DD), "ipv6")
     assert six["ext_hop_by_hop"] and six["frag_more"] and six["frag_id"] == 7 and not six["ext_routing"]
     assert only(P.eth((3 << 12 | 0x100 | 9).to_bytes(4, "big"), 0x8847), "mpls")["special_label_name"] == "Implicit NULL"
+
+
+def test_only_decoders_that_lead_to_a_protocol_run(monkeypatch):
+    import pyarrow as pa
+
+    ran = []
+    monkeypatch.setattr(core, "chosen", lambda hints, old=core.chosen: (d := old(hints)) and core.Decoder(d.name, d.wants, lambda b, h: (ran.append(d.name), d.parse(b, h))[1]))
+    hello = P.eth(P.ip(P.tcp(4000, 443, flags=24, payload=P.record(22, P.client_hello(bytes(32)))), 6))
+    query = P.eth(P.ip(P.udp(4000, 53, P.dns_query("a.test")), 17))
+    for name, frame, want in (("ipv4", hello, ["ethernet", "ipv4"]), ("tcp", hello, ["ethernet", "ipv4", "tcp"]), ("tls", hello, ["ethernet", "ipv4", "tcp", "tls"]), ("udp", query, ["ethernet", "ipv4", "udp"]), ("arp", query, ["ethernet", "ipv4", "udp"])):
+        ran.clear()
+        batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([frame])], ["frame_number", "link_type", "raw_data"])
+        rows = next(tables._rows(iter([batch]), name, []))
+        assert ran == want and len(rows) == (name in want)

@@ -104,10 +104,32 @@ def chosen(hints: Hints) -> Decoder | None:
     return best
 
 
-def walk(data: bytes, link_type: int) -> Iterator[tuple[str, int, str | None, int | None, dict[str, Any], bytes]]:
-    """(protocol, depth, tunnel type, tunnel id, fields, bytes behind it) of every layer of a frame."""
+#: Decoders after which no other comes, and those after which only some come; all others may lead anywhere.
+LEADS: dict[str, tuple[str, ...]] = {
+    **dict.fromkeys(("arp", "icmp", "icmpv6", "ospf", "bgp", "dns", "dhcp", "ntp", "tls", "ssh", "quic", "rtnetlink"), ()),
+    "tcp": ("dns", "bgp", "tls", "ssh"), "udp": ("dns", "dhcp", "ntp", "quic", "vxlan", "gtp"), "netlink": ("rtnetlink",),
+}
+
+
+def leading_to(name: str) -> frozenset[str] | None:
+    """Decoders that have to run for the layers of one protocol: its own and those that may stand before
+    it. None, meaning all, where a decoder was added of which that is not known."""
+    known = {d.name for d in loaded()}
+    open_ = {"ethernet", "linux_sll", "vlan", "mpls", "ipv4", "ipv6", "gre", "vxlan", "gtp", "ipsec"}
+    if not known <= open_ | set(LEADS):
+        return None
+    found, before = {name}, set()
+    while found != before:
+        before = set(found)
+        found |= {n for n in known if n in open_ or set(LEADS[n]) & found}
+    return frozenset(found)
+
+
+def walk(data: bytes, link_type: int, needed: frozenset[str] | None = None) -> Iterator[tuple[str, int, str | None, int | None, dict[str, Any], bytes]]:
+    """(protocol, depth, tunnel type, tunnel id, fields, bytes behind it) of every layer of a frame. The
+    walk ends before a decoder that is not among the ``needed``, if these are given."""
     hints, depth, tunnel = Hints(link_type=link_type), 0, (None, None)
-    while data and (d := chosen(hints)) is not None:
+    while data and (d := chosen(hints)) is not None and (needed is None or d.name in needed):
         try:
             fields, data, nxt = d.parse(data, hints)
         except Short as e:
@@ -125,9 +147,9 @@ def walk(data: bytes, link_type: int) -> Iterator[tuple[str, int, str | None, in
         hints = nxt
 
 
-def layers(data: bytes, link_type: int) -> Iterator[tuple[str, int, str | None, int | None, dict[str, Any]]]:
+def layers(data: bytes, link_type: int, needed: frozenset[str] | None = None) -> Iterator[tuple[str, int, str | None, int | None, dict[str, Any]]]:
     """:func:`walk` without the bytes."""
-    for layer in walk(data, link_type):
+    for layer in walk(data, link_type, needed):
         yield layer[:5]
 
 

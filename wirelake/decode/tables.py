@@ -22,13 +22,15 @@ from wirelake.decode import core
 from wirelake.session import spread
 
 def _rows(batches: Iterator[pa.RecordBatch], name: str, order: list[str]) -> Iterator[list[tuple]]:
-    """Per batch the rows of a protocol, with the columns in the given order."""
+    """Per batch the rows of a protocol, with the columns in the given order. Only decoders that may
+    lead to the protocol run."""
+    needed = core.leading_to(name)
     for batch in batches:
         out = []
         for number, link, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if data is None or link is None:
                 continue
-            for proto, depth, kind, ident, fields in core.layers(data, link):
+            for proto, depth, kind, ident, fields in core.layers(data, link, needed):
                 if proto == name:
                     out.append((number, *(fields.get(c) for c in order), depth, kind, ident))
         yield out

@@ -70,8 +70,8 @@ class Engine:
         return engine
 
     def sql(self, text: str, filter: str | None = None) -> DataFrame:
-        """A query, cut to the frames of a tcpdump-style filter where one is given."""
-        return filters.filtered(self.spark, text, filter) if filter else self.spark.sql(text)
+        """A query, over only the frames of a tcpdump-style filter where one is given."""
+        return filters.filtered(self.spark, text, filter, [v.name for v in views.VIEWS]) if filter else self.spark.sql(text)
 
     def table(self, name: str) -> DataFrame:
         return self.spark.table(name)

@@ -12,13 +12,14 @@ from typing import Any
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from wirelake import schema
 from wirelake.decode import core
 from wirelake.sources import container, datasource
 
-#: Protocols with a reader of their own.
-READERS = ("ethernet", "vlan", "arp", "mpls", "ipv4", "ipv6", "icmp", "icmpv6", "tcp", "udp", "dns", "dhcp", "ntp", "tls", "ssh", "quic", "vxlan", "gre", "gtp", "ipsec", "bgp", "ospf")
+#: Protocols with a reader of their own: those that every link can carry and one frame holds whole.
+READERS = tuple(n for n in schema.PROTOCOLS if n not in ("linux_sll", "netlink", "rtnetlink", "http", "http2"))
 
 
 def _records(path: str) -> Iterator[container.Record]:
@@ -29,14 +30,23 @@ def _records(path: str) -> Iterator[container.Record]:
 def _frames_function() -> Any:
     import datetime as dt
 
-    kind = T.StructType([f for f in schema.spark_schema("frames").fields if f.name != "raw_data"])
-
     class ReadPcap:
-        def eval(self, path: str) -> Iterator[tuple]:
+        @staticmethod
+        def analyze(path: AnalyzeArgument, proto: AnalyzeArgument | None = None) -> AnalyzeResult:
+            name = proto.value.lower() if proto is not None else "frames"
+            return AnalyzeResult(T.StructType([f for f in schema.spark_schema(name).fields if f.name != "raw_data"]))
+
+        def eval(self, path: str, proto: str = "frames") -> Iterator[tuple]:
+            columns = [] if proto.lower() == "frames" else [c for c, _ in schema.own_fields(proto.lower())]
             for n, (us, wire, link, data) in enumerate(_records(path), 1):
-                yield n, dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us), len(data), wire, link
+                if not columns:
+                    yield n, dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=us), len(data), wire, link
+                    continue
+                for name, depth, kind, ident, f in core.layers(data, link):
+                    if name == proto.lower():
+                        yield (n, *(f.get(c) for c in columns), depth, kind, ident)
 
-    return F.udtf(ReadPcap, returnType=kind)
+    return F.udtf(ReadPcap)
 
 
 def _protocol_function(name: str) -> Any:
@@ -53,7 +63,7 @@ def _protocol_function(name: str) -> Any:
 
 
 def register(spark: SparkSession) -> None:
-    """``read_pcap(path)``, ``read_<protocol>(path)``, ``pcap_protocols()`` and ``pcap_schema(table)``."""
+    """``read_pcap(path)`` and ``read_pcap(path, protocol)``, ``read_<protocol>(path)``, ``pcap_protocols()`` and ``pcap_schema(table)``."""
     spark.udtf.register("read_pcap", _frames_function())
     for name in READERS:
         spark.udtf.register(f"read_{name}", _protocol_function(name))

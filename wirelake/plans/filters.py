@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import ipaddress
 import re
+import threading
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -214,6 +216,30 @@ def _total(tree: Tree) -> str:
     return f"({_total(tree.left)}) {'AND' if isinstance(tree, And) else 'OR'} ({_total(tree.right)})"
 
 
-def filtered(spark: SparkSession, sql: str, text: str) -> DataFrame:
-    """A query whose result has a ``frame_number``, cut to the frames of a filter."""
-    return spark.sql(sql).join(matching_frames(spark, text), "frame_number", "left_semi")
+#: One query at a time has the names of the tables for itself.
+_NAMES = threading.Lock()
+
+
+def filtered(spark: SparkSession, sql: str, text: str, views: Iterable[str] = ()) -> DataFrame:
+    """A query over only the frames that a filter lets through.
+
+    The tables that the query names are cut to these frames first, so aggregates, limits and results
+    without a ``frame_number`` follow the filter as well. ``views`` are views over the tables that begin
+    at ``frames``; where the query names one of them, ``frames`` is cut. Tables without a
+    ``frame_number``, such as those of connections, stay whole.
+    """
+    wanted = {w.lower() for w in re.findall(r"\w+", sql)}
+    if wanted & {v.lower() for v in views}:
+        wanted.add("frames")
+    with _NAMES:
+        frames = matching_frames(spark, text)
+        own = {t.name: spark.table(t.name) for t in spark.catalog.listTables() if t.isTemporary and t.name.lower() in wanted}
+        own = {n: df for n, df in own.items() if "frame_number" in df.columns and n not in views}
+        try:
+            for name, df in own.items():
+                df.join(frames, "frame_number", "left_semi").select(df.columns).createOrReplaceTempView(name)
+            # names are resolved here, once and for all
+            return spark.sql(sql)
+        finally:
+            for name, df in own.items():
+                df.createOrReplaceTempView(name)

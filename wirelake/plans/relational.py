@@ -63,7 +63,7 @@ SHARED = {
         FROM (SELECT DISTINCT * FROM segments) s WINDOW w AS (PARTITION BY connection_id ORDER BY frame_number ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)""",
     "ntile": "SELECT connection_id, ntile(4) OVER (PARTITION BY server_ip ORDER BY duration_us NULLS LAST, connection_id) AS quarter FROM tcp_connections",
     "topk": "SELECT connection_id, duration_us FROM tcp_connections WHERE duration_us IS NOT NULL ORDER BY duration_us DESC, connection_id LIMIT 25",
-    "order_nulls": "SELECT connection_id, duration_us FROM tcp_connections ORDER BY duration_us ASC NULLS FIRST, connection_id LIMIT 40",
+    "order_nulls": "SELECT connection_id, duration_us FROM tcp_connections ORDER BY duration_us ASC NULLS FIRST, connection_id",
     "limit_offset": "SELECT connection_id FROM tcp_connections ORDER BY connection_id LIMIT 10 OFFSET 20",
     "union_all": "SELECT src_ip AS address FROM ip UNION ALL SELECT dst_ip FROM ip",
     "union_distinct": "SELECT src_ip AS address FROM ip UNION SELECT dst_ip FROM ip",

@@ -88,10 +88,12 @@ def sqlite(df: DataFrame, path: str, name: str = "data") -> int:
 
 
 def text_table(df: DataFrame, rows: int = 1000) -> str:
-    """The first rows as an aligned table."""
-    names, got = df.columns, readable(df, text_only=True).limit(rows).collect()
+    """The first rows as an aligned table; a last line tells where there are more."""
+    names, got = df.columns, readable(df, text_only=True).limit(rows + 1).collect()
+    more, got = len(got) > rows, got[:rows]
     cells = [names] + [["NULL" if x is None else str(x) for x in r] for r in got]
     width = [max(len(r[i]) for r in cells) for i in range(len(names))]
     line = "+" + "+".join("-" * (w + 2) for w in width) + "+"
     body = ["| " + " | ".join(c.ljust(w) for c, w in zip(r, width, strict=True)) + " |" for r in cells]
-    return "\n".join([line, body[0], line, *body[1:], line])
+    end = [f"only the first {rows} rows are shown; the other formats give all"] if more else []
+    return "\n".join([line, body[0], line, *body[1:], line, *end])

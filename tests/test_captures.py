@@ -134,6 +134,7 @@ def test_table_functions(spark, tmp_path):
     Engine.open(spark, str(tmp_path / "c.pcap.gz"), streams=False)
     path = str(tmp_path / "c.pcap.gz")
     assert spark.sql(f"SELECT frame_number, length, link_type FROM read_pcap('{path}')").collect()[0] == (1, 54, 1)
+    assert spark.sql(f"SELECT ttl FROM read_pcap('{path}', 'ipv4')").first().ttl == spark.sql(f"SELECT ttl FROM read_ipv4('{path}')").first().ttl
     assert [r[0] for r in spark.sql(f"SELECT query_name FROM read_dns('{path}')").collect()] == ["a.test"] * 2
     assert spark.sql(f"SELECT * FROM read_tcp('{path}')").schema.simpleString() == schema.spark_schema("tcp").simpleString() and spark.sql(f"SELECT * FROM read_bgp('{path}')").count() == 0
     assert spark.sql("SELECT * FROM pcap_protocols()").count() == 27 and spark.sql("SELECT * FROM pcap_schema('udp')").count() == 8

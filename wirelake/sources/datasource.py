@@ -123,11 +123,23 @@ class PcapSource(DataSource):
         return PcapReader(dict(self.options))
 
 
-def frames(spark: SparkSession, path: str, **options: str) -> DataFrame:
-    """The frames of captures at a path, by the data source."""
+def register(spark: SparkSession) -> None:
+    """Make the format ``pcap`` known to a session."""
+    # whether a format is known is looked up in the active session, wherever it is registered
+    sessions = spark._jvm.org.apache.spark.sql.classic.SparkSession
+    before = sessions.getActiveSession()
+    sessions.setActiveSession(spark._jsparkSession)
     try:
         spark.dataSource.register(PcapSource)
-    except AnalysisException as e:  # by another session of the application
+    except AnalysisException as e:
         if "DATA_SOURCE_ALREADY_EXISTS" not in str(e):
             raise
+    finally:
+        if before.isDefined():
+            sessions.setActiveSession(before.get())
+
+
+def frames(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """The frames of captures at a path, by the data source."""
+    register(spark)
     return spark.read.format("pcap").options(**options).load(path)

@@ -24,8 +24,6 @@ from wirelake.session import cut, spread
 CAPACITY = 2048
 #: Items of a group: bounds the memory and time of one local search.
 GROUP = 4000
-#: Rounds of the local search over all bins that are not full; it mostly ends sooner.
-ROUNDS = 50
 #: Place of the tokenizer's rank file.
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pattern that splits text before the merges of the rank file (fixed value of the vocabulary).
@@ -76,7 +74,7 @@ class _Bin:
         return self.items[at] if at >= 0 else None
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int = CAPACITY, search: bool = True) -> np.ndarray:
     """Bin number of each item; sizes are between 1 and the capacity. Bins are numbered from 0."""
     bins: list[_Bin] = []
     room: list[tuple[int, int]] = []  # (space left, bin), ascending: the first that fits is the fullest
@@ -91,9 +89,9 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> n
         bins[b].put((size, i))
         if left - size:
             insort(room, (left - size, b))
-    for _ in range(rounds):
-        if not _improve(bins, capacity):
-            break
+    # every exchange raises the sum of squared fills, so this ends
+    while search and _improve(bins, capacity):
+        pass
     out = np.empty(len(sizes), np.int64)
     for b, x in enumerate(y for y in bins if y.items):
         out[[i for _, i in x.items]] = b

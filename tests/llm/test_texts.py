@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import pickle
 import random
 import re
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from wirelake.llm import leakage, packing, subjects
+from wirelake.session import kept
 
 # --- packing
 
@@ -297,3 +299,38 @@ def test_subject_areas(spark):
         got.setdefault(r.doc_id, set()).add(r.subject)
     assert np.mean([got.get(i, set()) == set(o) for i, o in enumerate(owns)]) > 0.9 and not {900, 901, 902} & set(got)
     assert subjects.subject_areas(docs, labels.limit(0), codes).count() == 0 and subjects.subject_areas(docs, labels, codes.limit(0)).count() == 0 and subjects.subject_areas(docs.limit(0), labels, codes).count() == 0
+
+
+def test_subjects_learnt_from_all_labelled_documents(spark):
+    rnd = random.Random(3)
+    order = [r.id for r in spark.range(12_500).orderBy(F.xxhash64("id"), "id").collect()]
+    owns = {i: ["music"] if at >= 12_200 else [["food"], ["law"], []][at % 3] for at, i in enumerate(order)}
+    docs = spark.createDataFrame([(i, topic_text(rnd, o, 6)) for i, o in owns.items()], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, s, "a") for i, o in owns.items() for s in (o or ["none"])], "doc_id long, subject string, annotator string")
+    codes = spark.createDataFrame([(s, "") for s in TOPICS], "subject string, about string")
+    got = {r.doc_id for r in subjects.subject_areas(docs, labels, codes).where("subject = 'music'").collect()}
+    music = {i for i, o in owns.items() if o == ["music"]}
+    assert len(got & music) > 0.9 * len(music) and len(got - music) < 0.05 * len(music)
+
+
+def test_subjects_every_text_is_learnt(spark):
+    docs = spark.createDataFrame([(1, "court"), (1, "court"), (1, "verdict"), (2, ""), (3, None), (4, "oven")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "LAW"), (1, "law"), (1, "else"), (2, "none"), (3, "law")], "doc_id long, subject string")
+    items = spark.createDataFrame([(f"item {x}",) for x in "abcabc"] + [(None,), ("",)], "text string")
+    got = sorted((r.half == 2, r.lines, r.own) for r in subjects.labelled(docs, labels, ["law"], items).collect())
+    assert got == [(False, "", []), (False, "court", ["law"]), (False, "verdict", ["law"])] + [(True, "item", [])] * 3
+
+
+def test_subjects_passes_over_parts(spark):
+    texts, owns = corpus(240)
+    codes, docs = sorted(TOPICS), [subjects.tokenized(t) for t in texts]
+    words = sorted({w for d in docs for line in d for w in line})
+    number, half = {w: i for i, w in enumerate(words)}, np.arange(240) % 3
+    side, weight = np.arange(240) // 3 % 2, np.where(half == 2, 0.3, 1.0)
+    parts = [subjects._part(subjects.corpus(docs[a:b]), number, [set(o) for o in owns[a:b]], codes, half[a:b], side[a:b], weight[a:b], 3) for a, b in ((0, 240), (0, 7), (7, 150), (150, 240))]
+    usable = np.ones((3, len(words)), bool)
+    usable[1, ::5] = usable[2, ::7] = False
+    rows = spark.createDataFrame([(-1, bytearray(pickle.dumps(p))) for p in parts[1:]], "block int, part binary").repartition(2)
+    for a, b in zip(subjects.fitted(subjects.Here(parts[:1]), words, usable, codes), subjects.fitted(subjects.There(kept(rows)), words, usable, codes), strict=True):
+        assert a.words == b.words and np.array_equal(a.pairs, b.pairs)
+        assert all(np.allclose(x, y, rtol=1e-4, atol=1e-6) for x, y in ((a.p, b.p), (a.counted, b.counted), (a.first_mass, b.first_mass)))

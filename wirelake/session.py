@@ -72,6 +72,14 @@ def kept(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(df: DataFrame) -> None:
+    """Remove the files of a :func:`kept` table that is read no more."""
+    spark = df.sparkSession
+    for name in {name.rpartition("/")[0] for name in df.inputFiles()}:
+        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of partitions that a shuffle of the session makes."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -41,10 +41,10 @@ def _batch(rows: list[tuple], kind: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, kind, strict=True)], schema=kind)
 
 
-def table(frames: DataFrame, name: str, extended: bool = False) -> DataFrame:
+def table(frames: DataFrame, name: str, extended: bool = False, even: bool = False) -> DataFrame:
     """The table of one protocol. Frames with NULL data or link type give no rows; a frame may give
     several, one per occurrence; headers that are cut off give rows with NULL fields. ``extended`` adds
-    the further fields that some protocols have."""
+    the further fields that some protocols have; ``even`` says that the frames are spread already."""
     if name == "frames":
         return frames.select(*[F.col(c) for c, _ in schema.fields("frames")])
     arrow, order = schema.arrow_schema(name, extended), [c for c, _ in schema.own_fields(name, extended)]
@@ -53,7 +53,8 @@ def table(frames: DataFrame, name: str, extended: bool = False) -> DataFrame:
         for rows in _rows(batches, name, order):
             yield _batch(rows, arrow)
 
-    return spread(frames.select("frame_number", "link_type", "raw_data")).mapInArrow(decode, schema.spark_schema(name, extended))
+    needed = frames.select("frame_number", "link_type", "raw_data")
+    return (needed if even else spread(needed)).mapInArrow(decode, schema.spark_schema(name, extended))
 
 
 #: Arrays that a layer's fields are packed into by kind: name -> (kinds, Spark type, Arrow type).

@@ -12,6 +12,7 @@ from wirelake import schema
 from wirelake.decode import core, tables
 from wirelake.functions import catalogue, table_functions
 from wirelake.plans import filters, views
+from wirelake.session import spread
 from wirelake.sources import datasource
 from wirelake.sources.datasource import frames as read_frames
 from wirelake.streaming import analysis
@@ -38,7 +39,7 @@ class Engine:
         capture; of several captures every one but the first goes on where the one before ended.
         """
         frames = _one_numbering(read_frames(spark, path, **options), path)
-        kept = None
+        kept = even = None
         if store:
             frames.write.mode("overwrite").parquet(f"{store}/frames")
             frames = spark.read.parquet(f"{store}/frames")
@@ -49,7 +50,8 @@ class Engine:
             kept = tables.layers(frames).persist(StorageLevel.MEMORY_AND_DISK)
             made = {n: tables.from_layers(kept, n) for n in schema.PROTOCOLS if n not in ("http", "http2")}
         else:
-            made = {n: tables.table(frames, n) for n in schema.PROTOCOLS if n not in ("http", "http2")}
+            even = spread(frames.select("frame_number", "link_type", "raw_data"))  # once, as it plans the reading of the captures
+            made = {n: tables.table(even, n, even=True) for n in schema.PROTOCOLS if n not in ("http", "http2")}
         made["frames"] = tables.table(frames, "frames")
         engine = cls(spark, frames, kept=kept)
         if streams:
@@ -58,7 +60,7 @@ class Engine:
             made |= {n: analysis.stream_table(engine.found, ids, n) for n in analysis.KINDS}
         else:
             made |= {n: spark.createDataFrame([], schema.spark_schema(n)) for n in ("http", "http2")}
-        made |= {f"{n}_extended": tables.table(frames, n, extended=True) for n in schema.EXTENDED}
+        made |= {f"{n}_extended": tables.table(frames if even is None else even, n, extended=True, even=even is not None) for n in schema.EXTENDED}
         for name, df in made.items():
             df.createOrReplaceTempView(name)
         catalogue.register(spark)

@@ -13,10 +13,14 @@ import re
 import struct
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import ExitStack
 from pathlib import Path
+from tempfile import NamedTemporaryFile
+from typing import BinaryIO
 from urllib.parse import urlparse
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -175,42 +179,56 @@ LINKS = {24: 113, 25: 253}
 _IDLE_STEP = 400_000_000
 
 
-def _written(spark: SparkSession, d: str) -> str:
-    """Folder of the captures of the directory's orders, one file a link type and partition."""
+def _written(spark: SparkSession, d: str, kinds: tuple[int, ...]) -> str:
+    """Folder of the captures of the directory's orders of these kinds, one file a link type and partition."""
     folder = f"{_shared_folder(spark)}/captures-{uuid.uuid4().hex}"
     place = urlparse(folder)
     if place.scheme not in ("", "file"):
         raise ValueError(f"captures are written to a file system, not to {place.scheme}")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, tuple[list[bytes], list[int]]] = {}
-        for batch in batches:
-            for k in batch.column(0).to_pylist():
-                kind = k % KINDS
-                made = BUILDERS[kind](k)
-                frames, times = found.setdefault(LINKS.get(kind, 1), ([], []))
-                made = made if isinstance(made, list) else [made]
-                frames += made
-                # the last packet of an idle conversation comes after the idle time
-                times += [BASE_US + 1000 * k + i + (_IDLE_STEP if kind == 31 and i == 4 else 0) for i in range(len(made))]
+        # a task that is run again writes the same names, and only what is whole gets a name that is read
+        name = f"{TaskContext.get().partitionId():05d}.pcap"
         Path(place.path).mkdir(parents=True, exist_ok=True)
-        for link, (frames, times) in found.items():
-            (Path(place.path) / f"{link}-{uuid.uuid4().hex}.pcap").write_bytes(P.pcap(frames, link, times=times))
+        found: dict[int, BinaryIO] = {}
+        with ExitStack() as files:
+            for batch in batches:
+                for k in batch.column(0).to_pylist():
+                    kind = k % KINDS
+                    made = BUILDERS[kind](k)
+                    link = LINKS.get(kind, 1)
+                    if link not in found:
+                        found[link] = files.enter_context(NamedTemporaryFile(dir=place.path, prefix=".", delete=False))
+                        found[link].write(P.pcap_head(link))
+                    for i, frame in enumerate(made if isinstance(made, list) else [made]):
+                        # the last packet of an idle conversation comes after the idle time
+                        found[link].write(P.pcap_record(frame, BASE_US + 1000 * k + i + (_IDLE_STEP if kind == 31 and i == 4 else 0)))
+        for link, f in found.items():
+            Path(f.name).chmod(0o644)
+            Path(f.name).replace(Path(place.path) / f"{link}-{name}")
         yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64())], ["n"])
 
-    keys = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"))
-    keys.repartition(4, "k").sortWithinPartitions("k").mapInArrow(write, "n long").collect()
+    keys = table(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k")).where((F.col("k") % KINDS).isin(*kinds))
+    written = keys.repartition(spark.sparkContext.defaultParallelism, "k").sortWithinPartitions("k").mapInArrow(write, "n long").collect()
+    if not sum(r["n"] for r in written):
+        Path(place.path).mkdir(parents=True, exist_ok=True)
+        (Path(place.path) / "none.pcap").write_bytes(P.pcap([]))
     return place.path
 
 
-_OPEN: dict[tuple[str, str], Engine] = {}
+_OPEN: dict[tuple, Engine] = {}
+
 
+def opened(spark: SparkSession, d: str, kinds: tuple[int, ...] | None = None) -> Engine:
+    """The engine over the directory's captures, one for a session, in a session of its own.
 
-def opened(spark: SparkSession, d: str) -> Engine:
-    """The engine over the directory's captures, one for a session, in a session of its own."""
-    at = spark.sparkContext.applicationId, d
+    With ``kinds``, the captures hold all packets of these kinds and no others, for a table of packets that
+    is read once: its decoders run when it is read, and no tables of streams are made.
+    """
+    at = spark.sparkContext.applicationId, d, kinds
     if at not in _OPEN:
-        _OPEN[at] = Engine.open(spark.newSession(), f"{_written(spark, d)}/*.pcap", KEY_LOG)
+        path = f"{_written(spark, d, kinds or tuple(BUILDERS))}/*.pcap"
+        _OPEN[at] = Engine.open(spark.newSession(), path, streams=False, cache=False, capture_time=False) if kinds else Engine.open(spark.newSession(), path, KEY_LOG)
     return _OPEN[at]
 
 
@@ -339,17 +357,23 @@ def _expected(kinds: tuple[int, ...], columns: dict[str, str], where: str = "tru
 
 
 def _decoded(name: str) -> Callable[[SparkSession, str], DataFrame]:
-    kinds, depth, columns = DECODED[name]
+    kinds, _, _ = DECODED[name]
 
     def query(spark: SparkSession, d: str) -> DataFrame:
-        e = opened(spark, d)
-        rows = _key_of(e.table(name).where(F.col("encap_depth") == depth).join(e.table("frames").select("frame_number", "timestamp"), "frame_number"))
-        rows = rows.where((F.col("k") % KINDS).isin(*kinds))
-        return rows.select("k", *_shown(rows, columns))
+        # a packet depends on its key alone and a layer on its packet alone, so the condition on the kind goes before the writing
+        return _decoded_rows(opened(spark, d, kinds), name)
 
     return query
 
 
+def _decoded_rows(e: Engine, name: str) -> DataFrame:
+    """The rows of a decoder's own kinds in an engine that may hold packets of any."""
+    kinds, depth, columns = DECODED[name]
+    rows = _key_of(e.table(name).where(F.col("encap_depth") == depth).join(e.table("frames").select("frame_number", "timestamp"), "frame_number"))
+    rows = rows.where((F.col("k") % KINDS).isin(*kinds))
+    return rows.select("k", *_shown(rows, columns))
+
+
 def _viewed(name: str) -> Callable[[SparkSession, str], DataFrame]:
     kinds, columns = VIEWED[name]
 

@@ -11,7 +11,7 @@ import pytest
 from wirelake.plans import roundtrip
 from wirelake.sources import container
 
-DECODERS = ("arp", "dns", "gtp", "bgp", "ethernet")
+DECODERS = ("arp", "dns", "gtp", "bgp", "ethernet", "icmp")
 
 
 @pytest.fixture(scope="module")

@@ -11,7 +11,7 @@ import pytest
 from wirelake.plans import roundtrip
 from wirelake.sources import container
 
-DECODERS = ("arp", "dns", "gtp", "bgp", "ethernet", "icmp", "ipv4", "dhcp", "gre")
+DECODERS = ("arp", "dns", "gtp", "bgp", "ethernet", "icmp", "ipv4", "dhcp", "gre", "icmpv6")
 
 
 @pytest.fixture(scope="module")
